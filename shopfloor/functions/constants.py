@@ -218,3 +218,29 @@ class RetrievalParams:
     token_pattern: str = r"(?U)\b\w\w+\b"
     stop_words: bool = True
     extra: dict = field(default_factory=dict)
+
+
+# ---------------------------------------------------------------------------
+# What-if scenarios (id, name, description)
+# ---------------------------------------------------------------------------
+
+SCENARIOS = [
+    ("SCENARIO_1", "Continue Operation (Status Quo)",
+     "Keep machine running at full speed without intervention."),
+    ("SCENARIO_2", "Immediate Maintenance Shutdown",
+     "Halt machine for 2.5h planned repair, then resume at full capacity."),
+    ("SCENARIO_3", "Reduce Load (-30% Speed)",
+     "Operate at 70% capacity to lower stress and delay breakdown until scheduled shift end."),
+    ("SCENARIO_4", "Reroute to Backup Line",
+     "Transfer batch to secondary production line (Line 02) with 1h setup."),
+]
+SHUTDOWN_HOURS = 2.5
+SHUTDOWN_RESIDUAL_RISK = 0.05
+REDUCED_RATE_FACTOR = 0.70
+REDUCED_RISK_FACTOR = 0.40
+CONTINUE_DOWNTIME_FACTOR = 0.7
+CONTINUE_CRITICAL_ABOVE = 0.7
+REROUTE_SETUP_HOURS = 1.0
+REROUTE_RATE_FACTOR = 0.85
+REROUTE_RESIDUAL_RISK = 0.02
+REROUTE_SETUP_COST = 300.0
