@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions import constants as K
 from shopfloor.functions import rules as R
 
-EDGE_THRESHOLD = 150.0
+EDGE_THRESHOLD = 80.0
 
 
 def grey(r: str = "r", g: str = "g", b: str = "b") -> Column:
