@@ -24,7 +24,14 @@ def _stop_values() -> str:
 
 _TOK = "regexp_extract_all(lower({x}), '[\\pL\\pN_]{{2,}}')"
 
-TFIDF = S.with_ctes(S.CHUNKS, f"""stop(term) AS (VALUES {_stop_values()}),
+BENCH_QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+def tfidf_sql(queries_cte: str = BENCH_QUERIES) -> str:
+    return _TFIDF_TEMPLATE.replace("{QUERIES}", queries_cte)
+
+
+_TFIDF_TEMPLATE = S.with_ctes(S.CHUNKS, f"""stop(term) AS (VALUES {_stop_values()}),
 ctok AS (SELECT doc_id, section_no, unnest({_TOK.format(x='content')}) AS term FROM chunks),
 ctf AS (SELECT doc_id, section_no, term, count(*) AS tf FROM ctok
         WHERE term NOT IN (SELECT term FROM stop) GROUP BY doc_id, section_no, term),
@@ -35,7 +42,7 @@ idf AS (SELECT term, count(*) AS df,
 cw AS (SELECT doc_id, section_no, term, tf * idf AS w FROM ctf JOIN idf USING (term)),
 cn AS (SELECT doc_id, section_no, sqrt(sum(w * w)) AS norm FROM cw GROUP BY doc_id, section_no),
 cu AS (SELECT doc_id, section_no, term, w / norm AS w FROM cw JOIN cn USING (doc_id, section_no)),
-queries AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+{{QUERIES}},
 qtok AS (SELECT query_id, unnest({_TOK.format(x='query')}) AS term FROM queries),
 qtf AS (SELECT query_id, term, count(*) AS tf FROM qtok WHERE term NOT IN (SELECT term FROM stop)
         GROUP BY query_id, term),
@@ -47,6 +54,7 @@ sims AS (SELECT query_id, doc_id, section_no, sum(qu.w * cu.w) AS similarity
 topk AS (SELECT * , row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC,
                                        doc_id DESC, section_no DESC) AS rank
          FROM sims QUALIFY rank <= 2)""")
+TFIDF = tfidf_sql()
 
 
 @register("w_section_no", S.with_ctes(S.CHUNKS, """x AS (SELECT 1)

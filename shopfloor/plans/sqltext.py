@@ -109,7 +109,7 @@ READINGS = f"""readings AS (
   SELECT event_id, ts, {_machine('user_id', 'user_id')} AS machine_id,
     50.0 + value / 10 AS temperature,
     1.0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 20 AS vibration,
-    60.0 + CAST(event_id % 90 AS DOUBLE) AS pressure, event_type
+    60.0 + CAST(event_id % 90 AS DOUBLE) AS pressure, event_type, user_id AS image_id
   FROM events)"""
 
 
@@ -127,12 +127,13 @@ INCIDENTS = f"""incidents AS (
   FROM events)"""
 
 DECISIONS = """decisions AS (
-  SELECT event_id, ts, 'SUP-' || CAST(user_id AS VARCHAR) AS supervisor_id,
-    CASE event_type WHEN 'purchase' THEN 'APPROVE' WHEN 'error' THEN 'REJECT' ELSE 'MODIFY' END
-      AS decision_type,
+  SELECT event_id, ts, event_id - event_id % 10 AS target_event_id,
+    'SUP-' || CAST(user_id AS VARCHAR) AS supervisor_id,
+    CASE event_type WHEN 'purchase' THEN 'APPROVE' WHEN 'error' THEN 'REJECT' WHEN 'signup' THEN 'MODIFY'
+                    ELSE 'ESCALATE' END AS decision_type,
     CASE WHEN event_type = 'signup' THEN 'Reduce load by ' || json_extract_string(props, '$.k') || '%'
          WHEN event_type = 'error' THEN '' END AS notes_in
-  FROM events WHERE event_type IN ('purchase', 'error', 'signup'))"""
+  FROM events WHERE event_type IN ('purchase', 'error', 'signup', 'view'))"""
 
 PRODUCTION = f"""production AS (
   SELECT 'BAT-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS batch_id,

@@ -117,21 +117,26 @@ def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         (F.lit(1.0) + k / 20).alias("vibration"),
         (F.lit(60.0) + (F.col("event_id") % 90).cast("double")).alias("pressure"),
         F.col("event_type"),
+        F.col("user_id").alias("image_id"),
     )
 
 
 def decisions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Supervisor decisions: purchase -> APPROVE, error -> REJECT, signup -> MODIFY."""
+    """Supervisor decisions: purchase -> APPROVE, error -> REJECT, signup -> MODIFY,
+    view -> ESCALATE (not a valid decision type). A decision reviews the reading event
+    ``target_event_id`` (the first event of its block of ten)."""
     ev = events if events is not None else table(spark, sf_dir, "events")
     dtype = (F.when(F.col("event_type") == "purchase", F.lit("APPROVE"))
              .when(F.col("event_type") == "error", F.lit("REJECT"))
-             .when(F.col("event_type") == "signup", F.lit("MODIFY")))
+             .when(F.col("event_type") == "signup", F.lit("MODIFY"))
+             .when(F.col("event_type") == "view", F.lit("ESCALATE")))
     k = F.get_json_object(F.col("props"), "$.k")
     notes = (F.when(F.col("event_type") == "signup", F.concat(F.lit("Reduce load by "), k, F.lit("%")))
              .when(F.col("event_type") == "error", F.lit("")))
     return ev.where(dtype.isNotNull()).select(
         F.col("event_id"),
         F.col("ts"),
+        (F.col("event_id") - F.col("event_id") % 10).alias("target_event_id"),
         F.concat(F.lit("SUP-"), F.col("user_id").cast("string")).alias("supervisor_id"),
         dtype.alias("decision_type"),
         notes.alias("notes_in"),
