@@ -93,9 +93,53 @@ def cleaning_stats(df: DataFrame, params: CleaningParams = CleaningParams()) ->
     return row
 
 
-def fit_stats(df: DataFrame, params: CleaningParams = CleaningParams()) -> dict:
-    """Run the statistics job once (like an MLlib ``fit``): ~20 numbers to the driver."""
-    return cleaning_stats(df, params).first().asDict()
+EXACT_MAP_LIMIT = 1_000_000
+
+
+def fit_stats(df: DataFrame, params: CleaningParams = CleaningParams(), all_medians: bool = False,
+              exact_map_limit: int = EXACT_MAP_LIMIT) -> dict:
+    """Run the statistics jobs once (like an MLlib ``fit``): ~20 numbers to the driver.
+
+    Pass 1 counts nulls and approximate distinct values per column. When every column
+    has at most ``exact_map_limit`` distinct values, Spark's exact ``percentile``
+    aggregate is used (its value->count map is then bounded); otherwise the fully
+    distributed histogram + running-totals path (``cleaning_stats``) runs.
+    Medians are computed for columns with gaps (or all with ``all_medians``);
+    quartiles are taken on the imputed capped columns.
+    """
+    sensors, capped = list(params.sensors), list(params.capped)
+    first = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}") for c in sensors],
+                   *[F.approx_count_distinct(c).alias(f"nd_{c}") for c in sensors]).first().asDict()
+    if max(first[f"nd_{c}"] or 0 for c in sensors) > exact_map_limit:
+        return cleaning_stats(df, params).first().asDict()
+    stats = {f"nulls_{c}": int(first[f"nulls_{c}"] or 0) for c in sensors}
+    med_cols = [c for c in sensors if all_medians or stats[f"nulls_{c}"] > 0]
+    if med_cols:
+        row = df.agg(*[F.percentile(c, 0.5).alias(f"med_{c}") for c in med_cols]).first().asDict()
+        stats.update(row)
+    for c in sensors:
+        stats.setdefault(f"med_{c}", None)
+    imputed = [F.coalesce(F.col(c), F.lit(float(stats[f"med_{c}"])))
+               if stats[f"nulls_{c}"] and stats[f"med_{c}"] is not None else F.col(c) for c in capped]
+    qrow = df.agg(*[F.percentile(e, [0.25, 0.75]).alias(c) for e, c in zip(imputed, capped)]).first()
+    k = params.iqr_factor
+    for c in capped:
+        q1, q3 = (qrow[c] or [None, None])
+        stats[f"q1_{c}"], stats[f"q3_{c}"] = q1, q3
+        if q1 is not None:
+            stats[f"lo_{c}"] = q1 - (q3 - q1) * k
+            stats[f"hi_{c}"] = q3 + (q3 - q1) * k
+        else:
+            stats[f"lo_{c}"] = stats[f"hi_{c}"] = None
+    return stats
+
+
+def stats_frame(spark, stats: dict, cols: Sequence[str]) -> DataFrame:
+    """The fitted statistics as a one-row DataFrame (for reporting)."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
+    return spark.createDataFrame([tuple(None if stats.get(c) is None else float(stats[c]) for c in cols)], schema)
 
 
 def impute_median(df: DataFrame, stats: dict, cols: Sequence[str]) -> DataFrame:

@@ -100,8 +100,8 @@ def sequences(df: DataFrame, order: Sequence[str], features: Sequence[str], labe
 def with_split(df: DataFrame, order: Sequence[str], ratios: SplitRatios = SplitRatios()) -> DataFrame:
     """Positional train/val/test by global order: first int(n*train) rows train, up to
     int(n*(train+val)) val, rest test. Positions come from range-partitioned counts."""
-    n = df.count()
     pos = row_positions(df, order, (), "row_index")
+    n = pos.count()  # reads the materialised positions, not the upstream plan
     train_end = F.lit(int(n * float(ratios.train)))
     val_end = F.lit(int(n * float(ratios.train + ratios.val)))
     split = (F.when(F.col("row_index") < train_end, F.lit("train"))

@@ -60,8 +60,8 @@ def q_null_counts(spark, sf_dir):
 @register("a_median", S.with_ctes(S.TELEMETRY, "x AS (SELECT 1) SELECT " + ", ".join(
     f"round(median({c}), 6) AS med_{c}" for c in K.SENSOR_COLUMNS) + " FROM telemetry"))
 def q_median(spark, sf_dir):
-    st = cleaning.cleaning_stats(B.telemetry(spark, sf_dir))
-    return round_doubles(st.select(*[f"med_{c}" for c in K.SENSOR_COLUMNS]))
+    st = cleaning.fit_stats(B.telemetry(spark, sf_dir), all_medians=True)
+    return round_doubles(cleaning.stats_frame(spark, st, [f"med_{c}" for c in K.SENSOR_COLUMNS]))
 
 
 _QCOLS = [f"{p}_{c}" for c in K.CAPPED_COLUMNS for p in ("q1", "q3", "lo", "hi")]
@@ -70,8 +70,8 @@ _QCOLS = [f"{p}_{c}" for c in K.CAPPED_COLUMNS for p in ("q1", "q3", "lo", "hi")
 @register("a_quartiles", S.with_ctes(S.CLEANED, f"""x AS (SELECT 1)
 SELECT {rsel(_QCOLS, _QCOLS)} FROM qs, bnd"""))
 def q_quartiles(spark, sf_dir):
-    st = cleaning.cleaning_stats(B.telemetry(spark, sf_dir))
-    return round_doubles(st.select(*_QCOLS))
+    st = cleaning.fit_stats(B.telemetry(spark, sf_dir))
+    return round_doubles(cleaning.stats_frame(spark, st, _QCOLS))
 
 
 _SENS = K.SENSOR_COLUMNS
