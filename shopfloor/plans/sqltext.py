@@ -123,7 +123,7 @@ INCIDENTS = f"""incidents AS (
     {_machine('user_id', 'user_id')} AS machine_id,
     {_tmpl_case(0)} AS incident_text, {_tmpl_case(1)} AS labelled_urgency,
     {_tmpl_case(2)} AS action_taken,
-    round(0.5 + (value % 7.5), 1) AS downtime_hours
+    0.5 + CAST(event_id % 76 AS DOUBLE) / 10 AS downtime_hours
   FROM events)"""
 
 DECISIONS = """decisions AS (

@@ -101,7 +101,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(_templates_expr(0), slot).alias("incident_text"),
         F.element_at(_templates_expr(1), slot).alias("labelled_urgency"),
         F.element_at(_templates_expr(2), slot).alias("action_taken"),
-        F.round(F.lit(0.5) + (F.col("value") % 7.5), 1).alias("downtime_hours"),
+        (F.lit(0.5) + (F.col("event_id") % 76).cast("double") / 10).alias("downtime_hours"),
     )
 
 
