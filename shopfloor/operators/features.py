@@ -35,6 +35,9 @@ def rolling_columns(windows: Sequence[int]) -> Builder:
     return build
 
 
+INTERACTIONS = ["vib_temp_interaction", "vib_press_ratio", "rpm_vib_ratio"]
+
+
 def interaction_columns() -> dict[str, Column]:
     v, t, p, r = F.col("vibration"), F.col("temperature"), F.col("pressure"), F.col("rpm")
     return {
@@ -49,7 +52,7 @@ def feature_names(windows: Sequence[int] = K.ROLLING_WINDOWS) -> list[str]:
     for k in windows:
         names += [f"temp_roll_mean_{k}h", f"temp_roll_std_{k}h", f"vib_roll_mean_{k}h",
                   f"vib_roll_max_{k}h", f"press_roll_mean_{k}h"]
-    names += list(interaction_columns()) + ["temp_lag_1", "vib_lag_1"]
+    names += INTERACTIONS + ["temp_lag_1", "vib_lag_1"]
     return names
 
 
