@@ -65,15 +65,28 @@ def unit_weights(tf: DataFrame, idf: DataFrame, ids: list[str]) -> DataFrame:
     return w.join(norms, ids).select(*ids, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _materialize(df: DataFrame, purpose: str) -> DataFrame:
+    from shopfloor.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession, purpose)
+    return df.checkpoint(eager=True)
+
+
 class TfidfIndex:
-    """Index over ``chunks(chunk ids..., content)``."""
+    """Index over ``chunks(chunk ids..., content)``.
+
+    Building it tokenises the corpus once and materialises two tables in the shared
+    checkpoint folder, like an inverted index: term frequencies (chunk, term, tf) and
+    unit weights (chunk, term, w). idf is a small aggregate of the first. Queries
+    only read these tables."""
 
     def __init__(self, chunks: DataFrame, ids: list[str], text: str = "content", stop_words: bool = True):
         self.ids, self.stop_words = ids, stop_words
-        self.tf = term_counts(chunks, ids, text, stop_words)
-        self.n_docs = chunks.count()  # the fitted corpus size, a single number
+        self.chunks = _materialize(chunks, "tfidf-chunks")  # sectioned once, reused for evidence
+        self.tf = _materialize(term_counts(self.chunks, ids, text, stop_words), "tfidf-tf")
+        self.n_docs = self.chunks.count()  # the fitted corpus size, a single number
         self.idf = idf_table(self.tf, ids, self.n_docs)
-        self.weights = unit_weights(self.tf, self.idf, ids)
+        self.weights = _materialize(unit_weights(self.tf, self.idf, ids), "tfidf-w")
 
     def query_weights(self, queries: DataFrame, qid: str, text: str) -> DataFrame:
         qtf = term_counts(queries, [qid], text, self.stop_words)
@@ -81,9 +94,10 @@ class TfidfIndex:
 
     def similarities(self, queries: DataFrame, qid: str, text: str) -> DataFrame:
         """(qid, chunk ids..., similarity) for every pair sharing at least one term."""
-        qw = self.query_weights(queries, qid, text).withColumnRenamed("w", "qw")
-        n_q_terms = qw.count()
-        if n_q_terms <= BROADCAST_MAX_QUERY_TERMS:
+        qtf = term_counts(queries, [qid], text, self.stop_words)
+        qw = unit_weights(qtf, self.idf, [qid]).withColumnRenamed("w", "qw")
+        # query weights have at most one row per query term: count the terms, not the weights
+        if qtf.count() <= BROADCAST_MAX_QUERY_TERMS:
             qw = F.broadcast(qw)
         pairs = self.weights.join(qw, "term")
         return pairs.groupBy(qid, *self.ids).agg(F.sum(F.col("qw") * F.col("w")).alias("similarity"))

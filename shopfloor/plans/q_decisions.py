@@ -32,7 +32,7 @@ def knowledge_table(spark, sf_dir):
         .distinct()
     ix = RT.TfidfIndex(B.chunks(spark, sf_dir), ["doc_id", "section_no"])
     top = ix.top_k(queries, "query_id", "query", 1)
-    src = B.chunks(spark, sf_dir).select("doc_id", "section_no", "source")
+    src = ix.chunks.select("doc_id", "section_no", "source")
     return top.join(src, ["doc_id", "section_no"]).select(F.col("query_id").alias("slot"),
                                                          F.col("source").alias("top_source"))
 

@@ -135,7 +135,7 @@ def evidence(spark, sf_dir, k: int = 2):
     """Top-k sections per query with their source label and text."""
     ix = index(spark, sf_dir)
     top = ix.top_k(B.queries(spark, sf_dir), "query_id", "query", k)
-    chunks = B.chunks(spark, sf_dir).select(*IDS, "source", "content")
+    chunks = ix.chunks.select(*IDS, "source", "content")
     return top.join(chunks, IDS).select("query_id", "rank", *IDS, "source", "content",
                                         F.round("similarity", 4).alias("similarity"))
 

@@ -151,7 +151,7 @@ CHUNKS = """chunks AS (
   FROM (
     SELECT doc_id, source, kept[i] AS content, i
     FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)),
-                 lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 20) AS kept
+                 lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) > 20) AS kept
           FROM documents) d,
          LATERAL (SELECT unnest(range(1, len(kept) + 1)) AS i) r))"""
 

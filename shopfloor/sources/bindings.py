@@ -150,10 +150,14 @@ def chunks(spark: SparkSession, sf_dir: str, delimiter: str = "\n", min_chars: i
     return section_rows(docs.select("doc_id", "source", "text"), delimiter, min_chars)
 
 
+# Characters stripped from both ends of a section (Java's \s set).
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def section_rows(docs: DataFrame, delimiter: str, min_chars: int) -> DataFrame:
     import re
     parts = F.split(F.col("text"), re.escape(delimiter) if delimiter != "\n" else "\n")
-    stripped = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    stripped = F.transform(parts, lambda x: F.btrim(x, F.lit(WHITESPACE)))
     kept = F.filter(stripped, lambda x: F.length(x) > min_chars)
     out = docs.select("doc_id", "source", F.posexplode(kept).alias("pos", "content"))
     src = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
