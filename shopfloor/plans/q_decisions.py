@@ -274,13 +274,14 @@ def q_union(spark, sf_dir):
 # --- retraining bookkeeping --------------------------------------------------------------------
 
 def _formula_sql(n: str) -> str:
-    parts = [f"round({base} + least({cap}, {n} * {step}), 4) AS {name}" for name, base, cap, step in K.RETRAIN_METRICS]
+    parts = [f"round(CAST({base} AS DOUBLE) + least(CAST({cap} AS DOUBLE), {n} * CAST({step} AS DOUBLE)), 4) AS {name}"
+             for name, base, cap, step in K.RETRAIN_METRICS]
     parts.append(f"CAST({K.RETRAIN_BASE_SAMPLES} + {n} * {K.RETRAIN_SAMPLES_STEP} AS BIGINT) AS retrained_sample_size")
     return ", ".join(parts)
 
 
 def _params_sql(n: str) -> str:
-    return (f"{K.RETRAIN_LEARNING_RATE} AS learning_rate, "
+    return (f"CAST({K.RETRAIN_LEARNING_RATE} AS DOUBLE) AS learning_rate, "
             f"CAST({K.RETRAIN_BASE_ESTIMATORS} + {n} * {K.RETRAIN_ESTIMATORS_STEP} AS BIGINT) AS n_estimators, "
             f"CAST({n} AS BIGINT) AS feedback_batch_size, 'Retraining_Iter_' || CAST({n} + 1 AS VARCHAR) AS run_name")
 

@@ -100,8 +100,8 @@ def q_defaults(spark, sf_dir):
 
 
 def _baseline_sql(table, other, col="machine_id"):
-    whens = " ".join(f"WHEN contains({col}, '{n}') THEN {v}" for n, v in table)
-    return f"CASE {whens} ELSE {other} END"
+    whens = " ".join(f"WHEN contains({col}, '{n}') THEN CAST({v} AS DOUBLE)" for n, v in table)
+    return f"CASE {whens} ELSE CAST({other} AS DOUBLE) END"
 
 
 _BT = _baseline_sql(K.BASELINE_TEMPERATURE, K.BASELINE_TEMPERATURE_OTHER)

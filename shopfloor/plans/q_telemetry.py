@@ -236,7 +236,7 @@ def q_last_49(spark, sf_dir):
     """Top-49 per machine: Spark plans WindowGroupLimit on both sides of the shuffle,
     so a hot machine contributes at most 49 rows per map task."""
     w = Window.partitionBy("machine_id").orderBy(*[F.col(c).desc() for c in ORDER])
-    f = featured(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 49)
+    f = featured(spark, sf_dir).withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= 49)
     return round_doubles(f.select(*KEYS, "temperature", "vibration", "rn"))
 
 
