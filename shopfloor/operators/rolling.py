@@ -60,7 +60,8 @@ def keyed_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], build
     cold, hot = split_hot_keys(df, key, skew.hot_rows)
 
     w_cold = Window.partitionBy(*key).orderBy(*order)
-    cold_out = cold.select("*", *build(w_cold), *_fill_cols(w_cold, fills))
+    w_cold_rev = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    cold_out = cold.select("*", *build(w_cold), *_fill_cols(w_cold, w_cold_rev, fills))
     if hot is None:
         return cold_out
 
@@ -76,7 +77,8 @@ def keyed_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], build
     rep = hp.select("*", F.explode(copies).alias("_copy")) \
         .withColumn("_chunk", F.col("_copy.chunk")).withColumn("_ctx", F.col("_copy.ctx")).drop("_copy")
     w_hot = Window.partitionBy(*key, "_chunk").orderBy("_pos")
-    hot_out = rep.select("*", *build(w_hot), *_fill_cols(w_hot, fills, local=True)) \
+    w_hot_rev = Window.partitionBy(*key, "_chunk").orderBy(F.col("_pos").desc())
+    hot_out = rep.select("*", *build(w_hot), *_fill_cols(w_hot, w_hot_rev, fills, local=True)) \
         .where(~F.col("_ctx"))
     if fills:
         hot_out = _carry_fills(hot_out, hp, key, fills)
@@ -84,13 +86,16 @@ def keyed_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], build
     return cold_out.unionByName(hot_out)
 
 
-def _fill_cols(w: WindowSpec, fills, local: bool = False) -> list[Column]:
+def _fill_cols(w: WindowSpec, w_rev: WindowSpec, fills, local: bool = False) -> list[Column]:
+    """Forward fill = running last non-null; back fill = running last non-null over the
+    reversed order. Both are growing frames (linear), never a frame to unbounded
+    following, which Spark re-aggregates per row."""
     out = []
     for alias, col in fills:
         ff = F.last(F.col(col), ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        bf = F.first(F.col(col), ignorenulls=True).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        bf = F.last(F.col(col), ignorenulls=True).over(
+            w_rev.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         if local:
             out += [ff.alias(f"_ff_{alias}"), bf.alias(f"_bf_{alias}")]
         else:
@@ -107,12 +112,13 @@ def _carry_fills(rows: DataFrame, positioned: DataFrame, key, fills) -> DataFram
         aggs.append(F.min_by(val, F.when(val.isNotNull(), F.col("_pos"))).alias(f"_first_{alias}"))
     summary = positioned.groupBy(*key, "_chunk").agg(*aggs)
     w = Window.partitionBy(*key).orderBy("_chunk")
+    w_rev = Window.partitionBy(*key).orderBy(F.col("_chunk").desc())
     carry = summary.select(*key, "_chunk", *[
         c for alias, _ in fills for c in (
             F.last(f"_last_{alias}", ignorenulls=True).over(
                 w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cf_{alias}"),
-            F.first(f"_first_{alias}", ignorenulls=True).over(
-                w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cb_{alias}"))])
+            F.last(f"_first_{alias}", ignorenulls=True).over(
+                w_rev.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cb_{alias}"))])
     out = rows.join(carry, [*key, "_chunk"], "left")
     return out.withColumns({
         alias: F.coalesce(F.col(f"_ff_{alias}"), F.col(f"_cf_{alias}"), F.col(f"_bf_{alias}"),
