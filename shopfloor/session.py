@@ -19,13 +19,19 @@ SESSION_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Static settings applied only when this package builds the session: Spark removes
+# checkpoint files of RDDs that are no longer referenced.
+BUILD_ONLY = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "shopfloor") -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SESSION_DEFAULTS.items():
+    for key, value in {**SESSION_DEFAULTS, **BUILD_ONLY}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
