@@ -32,3 +32,13 @@ def test_oracle_small(spark, key):
     s = E.queries()[key](spark, SF_SMALL).toPandas()
     o = con.execute(E.oracle_sql()[key]).df()
     assert rows_of(s) == rows_of(o)
+
+
+PLAN_KEYS = ["w_latest_reading", "j_scenarios", "t_evidence_topk", "j_event_fanin", "p_surface_verdict",
+             "w_time_range_6h", "j_unreviewed", "a_histogram"]
+
+
+@pytest.mark.parametrize("key", PLAN_KEYS)
+def test_no_cross_products(spark, key):
+    plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
