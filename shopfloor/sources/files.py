@@ -128,6 +128,18 @@ def write_tiles_as_png(pixels: DataFrame, path: str) -> None:
     import pandas as pd
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import struct
+        import zlib
+
+        def chunk(tag, data):
+            return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF)
+
+        def png_bytes(width, height, rgb):
+            raw = b"".join(b"\x00" + rgb[y * width * 3:(y + 1) * width * 3] for y in range(height))
+            return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+                    + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
         pdf = pdf.sort_values(["y", "x"])
         w, h = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
         rgb = pdf[["r", "g", "b"]].to_numpy(dtype="uint8").tobytes()
