@@ -74,3 +74,13 @@ def test_running_totals(spark):
     want = t.select("*", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                     .alias("w_before"), F.sum("w").over(Window.partitionBy("machine_id")).alias("w_total"))
     assert _rows(got, KEYS + ["w_before", "w_total"]) == _rows(want, KEYS + ["w_before", "w_total"])
+
+
+def test_many_hot_keys_use_broadcast_tagging(spark, monkeypatch):
+    from shopfloor.operators import rolling
+    monkeypatch.setattr(rolling, "MAX_LISTED_HOT_KEYS", 0)
+    raw = B.telemetry(spark, SF_SMALL)
+    cols = KEYS + features.feature_names()
+    plain = features.engineer_features(raw, B.TELEMETRY_ORDER)
+    hot = features.engineer_features(raw, B.TELEMETRY_ORDER, skew=SkewParams(hot_rows=3, chunk_rows=30))
+    assert _rows(plain, cols) == _rows(hot, cols)
