@@ -14,29 +14,15 @@ limit that Spark applies before and after the shuffle.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopfloor.functions.constants import ENGLISH_STOP_WORDS
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BROADCAST_MAX_QUERY_TERMS = 2_000_000
 
 
-@functools.lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark MLlib's default English stop list, read from the installed Spark jars."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(sorted(set(w.strip().lower() for w in words if w.strip())))
-
-
 def tokens(text: str | Column) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), 0)
@@ -47,7 +33,7 @@ def term_counts(df: DataFrame, ids: list[str], text: str, stop_words: bool = Tru
     spark = df.sparkSession
     exploded = df.select(*ids, F.explode(tokens(text)).alias("term"))
     if stop_words:
-        stop = spark.createDataFrame([(w,) for w in english_stop_words()], "term string")
+        stop = spark.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
         exploded = exploded.join(F.broadcast(stop), "term", "left_anti")  # 181 words
     return exploded.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -19,7 +19,7 @@ def index(spark, sf_dir) -> RT.TfidfIndex:
 
 
 def _stop_values() -> str:
-    return ", ".join("('" + w.replace("'", "''") + "')" for w in RT.english_stop_words())
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in K.ENGLISH_STOP_WORDS)
 
 
 _TOK = "regexp_extract_all(lower({x}), '[\\pL\\pN_]{{2,}}')"
@@ -93,7 +93,7 @@ def q_term_freq(spark, sf_dir):
 SELECT term, count(*) AS n_removed FROM ctok WHERE term IN (SELECT term FROM stop) GROUP BY term""")
 def q_stopwords(spark, sf_dir):
     c = B.chunks(spark, sf_dir).select(F.explode(RT.tokens("content")).alias("term"))
-    stop = spark.createDataFrame([(w,) for w in RT.english_stop_words()], "term string")
+    stop = spark.createDataFrame([(w,) for w in K.ENGLISH_STOP_WORDS], "term string")
     return c.join(F.broadcast(stop), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_removed"))
 
 

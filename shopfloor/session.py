@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins and partition counts at run
 # time from real shuffle statistics; the skew-join split handles hot join keys.
@@ -44,25 +45,39 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def apply_defaults(spark: SparkSession) -> None:
     """Apply the runtime SQL settings to an existing session (the driver's)."""
     for key, value in SESSION_DEFAULTS.items():
-        if key.startswith("spark.ui"):
-            continue
-        try:
+        if not key.startswith("spark.ui"):  # static: only a session builder may set it
             spark.conf.set(key, value)
-        except Exception:  # static conf on a session someone else built
-            pass
 
 
-def checkpoint_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder; we only fall back to a local default
-    when the setting is absent (single-machine tests).
+    Only a single-machine session (``local[..]``) may leave the setting out; it then gets
+    a folder of its own. On a cluster a machine-local folder would be written by every
+    executor on its own disk, so a missing setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "shopfloor-checkpoints")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all "
+                               "executors share")
+        base = os.path.join(tempfile.gettempdir(), "shopfloor-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def checkpoint_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name under the shared folder."""
+    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the
+    lineage, survives lost executors and gives later joins real size statistics."""
+    path = checkpoint_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
