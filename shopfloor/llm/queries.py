@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopfloor.llm import decontaminate, exact_dedup, mixing, pii
+from shopfloor.llm import (decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash,
+                           token_codes, warc)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,20 +33,25 @@ def op1(spark, sf_dir):
         F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(spans).alias("spans"))
 
 
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
 @query("op5_decontaminate", f"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS ws FROM benchmark),
-bw AS (SELECT item, len(ws) AS n, ws, unnest(range(greatest(len(ws) - 12, 1))) AS at FROM b WHERE len(ws) > 0),
-win AS (SELECT DISTINCT item, least(n, 13) AS l, array_to_string(ws[at + 1: at + 13], ' ') AS gram FROM bw),
+bw AS (SELECT item, len(ws) AS n, ws, unnest(range(greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, least(n, 13) AS l, array_to_string(ws[i + 1: i + 13], ' ') AS gram FROM bw),
 d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS at FROM d),
+p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d),
 ls AS (SELECT DISTINCT l FROM win),
-g AS (SELECT doc_id, at, l, array_to_string(ws[at + 1: at + l], ' ') AS gram FROM p, ls WHERE at + l <= len(ws)),
-h AS (SELECT doc_id, at, g.l, item FROM g JOIN win ON g.gram = win.gram AND g.l = win.l),
-hw AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + l)) AS w FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, i, l, array_to_string(ws[i + 1: i + l], ' ') AS gram FROM p, ls WHERE i + l <= len(ws)),
+h AS (SELECT doc_id, i, g.l, item FROM g JOIN win ON g.gram = win.gram AND g.l = win.l),
+hw AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS w FROM h) GROUP BY doc_id),
 hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -69,3 +75,39 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op9(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_codes")
+def op2(spark, sf_dir):
+    import public_tokenizers
+
+    return token_codes.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_licenses")
+def op4(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.label_grades(table(spark, sf_dir, "labels")))
+    return quality.rate_documents(docs, model)
+
+
+@query("op8_langid")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@query("op10_warc", """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER w
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER w
+            THEN max(page_id) OVER w END AS refers_to
+FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))""")
+def op10(spark, sf_dir):
+    return warc.dedup_archive(table(spark, sf_dir, "pages"))
