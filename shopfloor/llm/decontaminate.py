@@ -53,7 +53,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int)
 
 def window_hits(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(row, id, n_words, pos, len, wid): one row per document with pos = -1 that carries
+    """(row, id, h, n_words, pos, len, wid): one row per document with pos = -1 that carries
     n_words, and one per verified occurrence of a window."""
     grams = windows.select("key", "len", "gram", "p").distinct() \
         .withColumn("wid", F.xxhash64("gram", F.lit("w")))
@@ -70,8 +70,8 @@ def window_hits(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
         ).otherwise(F.slice(sentinel, 1, 0))
 
     scan = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
-                       words(F.col(text_col)).alias("ws"))
-    scan = scan.select("id", "row", "ws", F.inline(F.concat(sentinel, *[keys(p) for p in sorted(stats["ps"])])))
+                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), words(F.col(text_col)).alias("ws"))
+    scan = scan.select("id", "row", "h", "ws", F.inline(F.concat(sentinel, *[keys(p) for p in sorted(stats["ps"])])))
     out = []
     for b in range(blocks):
         block = grams.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else grams
@@ -79,7 +79,7 @@ def window_hits(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
         same = (F.col("key") == F.col("wkey")) & (
             F.array_join(F.slice("ws", F.col("pos") + 1, F.col("len")), " ") == F.col("gram"))
         hit = scan.join(w, same, "left").where(F.col("gram").isNotNull() | ((F.col("pos") == -1) & F.lit(b == 0)))
-        out.append(hit.select("id", "row", F.size("ws").alias("n_words"), "pos", "len", "wid"))
+        out.append(hit.select("id", "row", "h", F.size("ws").alias("n_words"), "pos", "len", "wid"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -109,7 +109,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_of = windows.select("item", F.xxhash64("gram", F.lit("w")).alias("wid")).distinct()
     items = found.select("row", "wid").distinct().join(item_of, "wid").groupBy("row") \
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = hits.where(F.col("pos") == -1).select("id", "row", F.col("n_words").cast("long").alias("n_words")) \
+    out = hits.where(F.col("pos") == -1).select("id", "row", "h", F.col("n_words").cast("long").alias("n_words")) \
         .join(per_doc.join(items, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items_list = F.coalesce("items", F.array().cast("array<string>"))
@@ -117,4 +117,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"),
         F.size(items_list).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_list, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * hit_words_per >= F.col("n_words"))).alias("contaminated"), "hit_spans", "row")
+        ((n_hit > 0) & (n_hit * hit_words_per >= F.col("n_words"))).alias("contaminated"), "hit_spans", "row", "h")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      item_col: str = "item_id", **options) -> DataFrame:
+    """The rows that are not contaminated, all columns kept. Rows are known by (id, hash of
+    the text): equal rows are judged alike."""
+    judged = contamination(docs, benchmark, id_col, text_col, item_col, **options)
+    gone = judged.where("contaminated").select(F.col(id_col).alias("__dc_id"), F.col("h").alias("__dc_h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__dc_id")) & (
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__dc_h"))
+    return docs.join(materialize(gone, "contaminated"), same, "left_anti")

@@ -128,12 +128,12 @@ def class_copies(hist: DataFrame, sources: DataFrame, lam: DataFrame, cap: float
         "sid", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, cap: int = 3) -> DataFrame:
-    """One row per input row: ``id_col``, size, source_size, target (of its source), taken
-    (words), copies, and the row's own number ``row`` (scan order)."""
+def document_copies(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap: int) -> DataFrame:
+    """(id, source, h, size, total, target, own): one row per input row with its copies
+    ``own``; h is a hash of the text."""
     docs = materialize(df.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
         F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(SPACE_WORD), 0)), F.lit(0)).cast("long")
         .alias("size")), "mix-sizes")
     by_size = materialize(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
@@ -147,12 +147,49 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     classes = materialize(copies.join(sources.select("sid", "source", "total", "target"), "sid"), "mix-copies")
     cls = classes.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "sid", "n", "copies", "total", "target")
     tagged = docs.join(cls, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    tagged = tagged.select("id", "row", "sid", "size", "n", "copies", "total", "target")
+    tagged = tagged.select("id", "source", "h", "row", "sid", "size", "n", "copies", "total", "target")
     whole, rest = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     even = tagged.where(rest == 0).withColumn("own", whole)
-    placed = row_positions(tagged.where(rest != 0).withColumn("h", F.xxhash64("id")), ["h", "id", "row"],
-                           ["sid", "size"], "place").drop("h")
+    placed = row_positions(tagged.where(rest != 0).withColumn("order", F.xxhash64("id")), ["order", "id", "h", "row"],
+                           ["sid", "size"], "place").drop("order")
     odd = placed.withColumn("own", whole + (F.col("place") < rest).cast("long")).drop("place")
-    return even.unionByName(odd).select(
+    return even.unionByName(odd).select("id", "source", "h", "size", "total", "target", "own")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights=WEIGHTS, cap: int = 3) -> DataFrame:
+    """One row per input row: ``id_col``, size, source_size, target (of its source), taken
+    (words), copies."""
+    return document_copies(df, id_col, text_col, source_col, weights, cap).select(
         F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target",
-        (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"), "row")
+        (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"))
+
+
+def repeat_to_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  weights=WEIGHTS, cap: int = 3) -> DataFrame:
+    """The mixed table: every row as often as the mix takes it, all columns kept. Rows are known by
+    (id, source, hash of the text); copies of rows that agree in these are shared among
+    them, by their place."""
+    taken = materialize(document_copies(df, id_col, text_col, source_col, weights, cap)
+                        .groupBy(F.col("id").alias("__mx_id"), F.col("source").alias("__mx_source"), F.col("h").alias("__mx_h"))
+                        .agg(F.sum("own").alias("__mx_copies"), F.count(F.lit(1)).alias("__mx_rows")), "mix-taken")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = ["__mx_id", "__mx_source", "__mx_h"]
+
+    def joined(some: DataFrame) -> DataFrame:
+        return df.join(some, F.col(id_col).eqNullSafe(F.col("__mx_id")) & (text_hash == F.col("__mx_h"))
+                       & F.col(source_col).eqNullSafe(F.col("__mx_source")))
+
+    def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.select(*df.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__mx_copy")) \
+            .drop("__mx_copy")
+
+    out = repeated(joined(taken.where((F.col("__mx_rows") == 1) & (F.col("__mx_copies") > 0))), F.col("__mx_copies"))
+    several = taken.where((F.col("__mx_rows") > 1) & (F.col("__mx_copies") > 0))
+    if not several.limit(1).count():
+        return out
+    placed = row_positions(joined(several).withColumn("__mx_at", F.monotonically_increasing_id()), ["__mx_at"], key,
+                           "__mx_place")
+    share = F.floor(F.col("__mx_copies") / F.col("__mx_rows")) + (
+        F.col("__mx_place") < F.col("__mx_copies") % F.col("__mx_rows")).cast("long")
+    return out.unionByName(repeated(placed, share))

@@ -60,7 +60,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""")
 def op5(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")) \
-        .drop("row", "hit_spans")
+        .drop("row", "hit_spans", "h")
 
 
 @query("op7_mixing")

@@ -72,15 +72,17 @@ def _fingerprints(shingle_words: int):
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle_words) for t in b.column(1)),
                               np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))],
+                                             names=["id", "h", "fp"])
     return run
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): one row per input row, fp as a signed 64-bit number."""
+    """(id, h, fp): one row per input row; h a hash of the text, fp as a signed 64-bit number."""
     kind = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return src.mapInArrow(_fingerprints(shingle_words), f"id {kind}, fp bigint")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = df.select(F.col(id_col).alias("id"), text.cast("binary").alias("t"), F.xxhash64(text).alias("h"))
+    return src.mapInArrow(_fingerprints(shingle_words), f"id {kind}, h bigint, fp bigint")
 
 
 def golay_words() -> np.ndarray:
@@ -168,17 +170,48 @@ def components(edges: DataFrame) -> DataFrame:
         .unionByName(cur.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
-               max_bits: int = 2) -> DataFrame:
-    """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id
-    (smallest id reachable)."""
+def classify(df: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(documents (id, h, fp), classes (fp, root, component_id)), both materialized."""
     docs = materialize(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
     distinct = materialize(docs.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
     comp = components(links(distinct, max_bits))
-    rooted = distinct.join(comp, F.col("fp") == F.col("node"), "left") \
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-roots")
+    rooted = materialize(distinct.join(comp, F.col("fp") == F.col("node"), "left")
+                         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return docs, materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+               max_bits: int = 2) -> DataFrame:
+    """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id
+    (smallest id reachable)."""
+    docs, classes = classify(df, id_col, text_col, shingle_words, max_bits)
+    classes = classes.withColumnRenamed("fp", "_fp")
     return docs.join(classes, F.col("fp") == F.col("_fp")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
+                         max_bits: int = 2) -> DataFrame:
+    """One row of every component, all columns kept: the smallest id (nulls last), of several
+    texts under that id the one with the smallest hash, of equal rows any one.
+
+    Rows are known by (id, hash of the text). Only what goes, and the rare keepers that occur
+    more than once, are joined back."""
+    docs, classes = classify(df, id_col, text_col, shingle_words, max_bits)
+    rows = docs.join(classes.select(F.col("fp").alias("_fp"), "root"), F.col("fp") == F.col("_fp")) \
+        .groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "simhash-rows")
+    best = rows.groupBy(F.col("root").alias("_root")).agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best"))
+    judged = rows.join(best, F.col("root") == F.col("_root")) \
+        .withColumn("stays", F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.h") == F.col("h")))
+    special = materialize(judged.where(~F.col("stays") | (F.col("n") > 1)).select(
+        F.col("id").alias("__nd_id"), F.col("h").alias("__nd_h"), F.col("stays").alias("__nd_stays")), "simhash-drop")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    tagged = df.join(special, F.col(id_col).eqNullSafe(F.col("__nd_id")) & (text_hash == F.col("__nd_h")), "left")
+    alone = tagged.where(F.col("__nd_stays").isNull()).select(*[df[c] for c in df.columns])
+    if not special.where("__nd_stays").limit(1).count():
+        return alone
+    repeated = tagged.where(F.col("__nd_stays")).dropDuplicates(["__nd_id", "__nd_h"])
+    return alone.unionByName(repeated.select(*df.columns))
