@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm.license_templates import TEMPLATES
 
-CUES = r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public domain|\bCC[ 0]|Creative Commons"
-UNIT = re.compile(r"[^\n]+?(?:[.!?:;](?=\s)|(?=\n)|\Z)")
+CUES = r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public domain|\bCC[ 0]|Creative Commons|\bMPL\b"
+UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s+[A-Z\"'(])|(?=\n)|\Z)")
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 BLOCK_UNITS = 12
 SHORTLIST = 4

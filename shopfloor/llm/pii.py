@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfloor.llm.text import ascii_lower, prefix_sums
@@ -122,7 +122,7 @@ def located(matches: DataFrame) -> DataFrame:
         at = prefix_sums(F.col(f"{name}_l"))
         found = F.transform(F.arrays_zip(
             F.col(f"{name}_v").alias("v"), F.slice(f"{name}_p", 1, F.size(f"{name}_v")).alias("p"),
-            F.transform(F.filter(at, lambda _, i: i % 2 == 1), lambda x: x).alias("s")),
+            F.filter(at, lambda _, i: i % 2 == 1).alias("s")),
             lambda z: F.struct(F.lit(k).alias("k"), z["s"].alias("start"), (z["s"] + F.length(z["v"])).alias("end"),
                                z["v"].alias("value"), z["p"]["ctx"].alias("ctx")))
         found = F.filter(found, lambda s: s["value"].isNotNull())
@@ -134,7 +134,24 @@ def located(matches: DataFrame) -> DataFrame:
     return df.select("id", "row", F.concat(*spans[:-1]).alias("base"), spans[-1].alias("mentions"))
 
 
-def bootstrap(mentions: DataFrame, p: Bootstrap, trim) -> DataFrame:
+def free_mentions(found: DataFrame) -> DataFrame:
+    """(row, m): mentions that overlap no base span of their text. Where a text has both, one
+    sweep over their starts compares each mention with the furthest end before it and the
+    nearest base start after it."""
+    alone = found.where(F.size("base") == 0).select("row", F.explode("mentions").alias("m"))
+    both = found.where((F.size("base") > 0) & (F.size("mentions") > 0)) \
+        .select("row", F.explode(F.concat("base", "mentions")).alias("m")) \
+        .withColumn("is_base", F.col("m.k") < len(KINDS))
+    forth = Window.partitionBy("row").orderBy("m.start", "m.end", F.desc("is_base")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("row").orderBy(F.desc("m.start"), F.desc("m.end"), F.desc("is_base")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.select("row", "m", "is_base", F.max(F.when(F.col("is_base"), F.col("m.end"))).over(forth).alias("behind"),
+                        F.min(F.when(F.col("is_base"), F.col("m.start"))).over(back).alias("ahead"))
+    clear = (F.coalesce("behind", F.lit(0)) <= F.col("m.start")) & (
+        F.col("ahead").isNull() | (F.col("ahead") >= F.col("m.end")))
+    return alone.unionByName(swept.where(~F.col("is_base") & clear).select("row", "m"))
+
+
+def bootstrap(mentions: DataFrame, p: Bootstrap) -> DataFrame:
     """Score the pattern-instance graph. mentions: (ctx, inst, kind no or null for unknown).
     Returns (ctx, kind, inst, confidence) of the trusted pattern edges."""
     edges = materialize(mentions.where(F.col("ctx") != "").groupBy("ctx", "inst", "kind")
@@ -167,15 +184,14 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(located(matches), "pii-spans")
     core = F.regexp_replace(F.regexp_replace("m.value", r"^[^\p{L}\p{N}+]++", ""), r"[^\p{L}\p{N}]++$", "")
     lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^[^\p{L}\p{N}+]++", ""))
-    loose = found.select("row", "base", F.explode("mentions").alias("m")) \
-        .where(~F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (F.col("m.start") < b["end"]))) \
-        .select("row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx")) \
+    loose = free_mentions(found).select(
+        "row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx")) \
         .where(F.length(_digits(F.col("value"))) >= 2)
     seeds = found.select(F.explode("base").alias("m")).select(
         F.col("m.ctx").alias("ctx"), ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"))
     loose = loose.withColumn("inst", ascii_lower(F.col("value")))
     mentions = seeds.unionByName(loose.select("ctx", "inst", F.lit(None).cast("int").alias("kind")))
-    accepted = bootstrap(mentions, params, core)
+    accepted = bootstrap(mentions, params)
     digits, kind = _digits(F.col("value")), F.col("kind")
     fits = F.when(kind == KINDS.index("email"), F.length("value") >= 5) \
         .when(kind == KINDS.index("ip"), F.col("value").rlike(r"^[0-9a-fA-F.:]{7,}$")) \

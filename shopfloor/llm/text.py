@@ -17,16 +17,25 @@ def ascii_lower(text: Column) -> Column:
         .otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it (also
+    inside lambdas, where a plain expression would be computed for every element)."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def prefix_sums(lengths: Column, block: int = 64) -> Column:
-    """Exclusive running sums of an integer array, linear in its length: totals of
-    blocks of 64, then the offset inside the block. ``lengths`` must be a stored
-    column (it is read from inside lambdas)."""
+    """Exclusive running sums of an array of longs: totals of blocks of 64, then the offset
+    inside the block, so long arrays stay near linear."""
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    n_blocks = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks, F.lit(1)) - 1),
-                       lambda b: total(F.slice(lengths, b * block + 1, block)))
-    before = F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
-    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / block).cast("int"))
-                       + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block)))
+    def blocks(all_: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_) / F.lit(block)).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(all_, b * block + 1, block)))
+
+    def place(all_: Column, before: Column) -> Column:
+        return F.transform(all_, lambda _, i: F.get(before, F.floor(i / block).cast("int"))
+                           + total(F.slice(all_, F.floor(i / block).cast("int") * block + 1, i % block)))
+
+    return let(lengths, lambda all_: let(blocks(all_), lambda sums: let(
+        F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))), lambda before: place(all_, before))))
