@@ -1,14 +1,8 @@
 """Global column statistics, median imputation and IQR capping.
 
-Statistics are exact and fully distributed: one scan builds a (column, value)
-histogram with map-side partial counts; medians and quartiles are read off
-running totals of that histogram (``positions.running_totals``), so neither the
-raw column nor the whole histogram ever sits in one task. Quartiles are taken
-*after* imputation without a second scan: the imputed histogram is the raw one
-plus ``null_count`` copies of the median.
-
-The one-row result is fetched once (~20 numbers, like an MLlib ``fit``) and applied
-as literals, so the row plan stays a plain projection.
+Statistics are exact, distributed and the same at every size (see ``fit_stats``). The
+result is fetched once (~20 numbers, like an MLlib ``fit``) and applied as literals, so the
+row plan stays a plain projection.
 """
 
 from __future__ import annotations
@@ -20,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions.constants import CleaningParams
 from shopfloor.operators.positions import running_totals
+from shopfloor.session import materialize
 
 
 def null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -35,19 +30,17 @@ def column_histograms(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return melted.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def histogram_quantiles(hist: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (col, p, q) from a histogram of non-null values.
+def _at_ranks(totals: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (col, p, q) from (col, value, cnt, before, total).
 
     With n values sorted, q(p) = v[lo] + (v[hi] - v[lo]) * (pos - lo) where pos = (n-1)p.
     """
-    rt = running_totals(hist.where(F.col("value").isNotNull()), ["value"], ["cnt"], ["col"])
-    x = rt.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    pos = (F.col("cnt_total") - 1) * F.col("p")
-    x = x.withColumn("_pos", pos).withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-    start, end = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
+    x = totals.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    x = x.withColumn("_pos", (F.col("total") - 1) * F.col("p")) \
+        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
 
     def covers(rank: Column) -> Column:
-        return (start <= rank) & (rank < end)
+        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("cnt"))
 
     x = x.where(covers(F.col("_lo")) | covers(F.col("_hi")))
     q = x.groupBy("col", "p").agg(
@@ -58,79 +51,40 @@ def histogram_quantiles(hist: DataFrame, probs: Sequence[float]) -> DataFrame:
                                  * (F.col("_pos") - F.col("_lo"))).alias("q"))
 
 
-def cleaning_stats(df: DataFrame, params: CleaningParams = CleaningParams()) -> DataFrame:
-    """One row: ``nulls_c``, ``med_c`` for every sensor; ``q1_c``, ``q3_c``, ``lo_c``, ``hi_c``
-    for the capped ones (quartiles of the imputed column)."""
-    sensors, capped = list(params.sensors), list(params.capped)
-    hist = column_histograms(df, sensors)
-    nulls = hist.where(F.col("value").isNull()).select("col", F.col("cnt").alias("nulls"))
-    med = histogram_quantiles(hist, [0.5]).select("col", F.col("q").alias("med"))
-    fill = nulls.join(med, "col").select("col", F.col("med").alias("value"), F.col("nulls").alias("cnt"))
-    imputed = (hist.where(F.col("value").isNotNull() & F.col("col").isin(capped))
-               .unionByName(fill.where(F.col("col").isin(capped) & F.col("value").isNotNull()))
-               .groupBy("col", "value").agg(F.sum("cnt").alias("cnt")))
-    quart = histogram_quantiles(imputed, [0.25, 0.75])
-    k = params.iqr_factor
-    aggs = []
-    for c in sensors:
-        aggs.append(F.coalesce(F.max(F.when(F.col("col") == c, F.col("nulls"))), F.lit(0))
-                    .alias(f"nulls_{c}"))
-        aggs.append(F.max(F.when(F.col("col") == c, F.col("med"))).alias(f"med_{c}"))
-    for c in capped:
-        q1 = F.max(F.when((F.col("col") == c) & (F.col("p") == 0.25), F.col("q")))
-        q3 = F.max(F.when((F.col("col") == c) & (F.col("p") == 0.75), F.col("q")))
-        aggs += [q1.alias(f"q1_{c}"), q3.alias(f"q3_{c}")]
-    long = (med.join(nulls, "col", "left")
-            .select("col", "med", "nulls", F.lit(None).cast("double").alias("p"),
-                    F.lit(None).cast("double").alias("q"))
-            .unionByName(quart.select("col", F.lit(None).cast("double").alias("med"),
-                                      F.lit(None).cast("long").alias("nulls"), "p", "q")))
-    row = long.agg(*aggs)
-    for c in capped:
-        iqr = F.col(f"q3_{c}") - F.col(f"q1_{c}")
-        row = row.withColumn(f"lo_{c}", F.col(f"q1_{c}") - iqr * k) \
-                 .withColumn(f"hi_{c}", F.col(f"q3_{c}") + iqr * k)
-    return row
-
+def fit_stats(df: DataFrame, params: CleaningParams = CleaningParams()) -> dict:
+    """Null counts and medians of every sensor, quartiles and caps of the capped sensors after
+    imputation: ``nulls_c``, ``med_c``, ``q1_c``, ``q3_c``, ``lo_c``, ``hi_c``.
 
-EXACT_MAP_LIMIT = 1_000_000
-
-
-def fit_stats(df: DataFrame, params: CleaningParams = CleaningParams(), all_medians: bool = False,
-              exact_map_limit: int = EXACT_MAP_LIMIT) -> dict:
-    """Run the statistics jobs once (like an MLlib ``fit``): ~20 numbers to the driver.
-
-    Pass 1 counts nulls and approximate distinct values per column. When every column
-    has at most ``exact_map_limit`` distinct values, Spark's exact ``percentile``
-    aggregate is used (its value->count map is then bounded); otherwise the fully
-    distributed histogram + running-totals path (``cleaning_stats``) runs.
-    Medians are computed for columns with gaps (or all with ``all_medians``);
-    quartiles are taken on the imputed capped columns.
-    """
+    One scan makes the (column, value) histogram with map-side counts; running totals over its
+    range-partitioned rows give every rank, so no task holds a column or the histogram. The
+    imputed column is the same histogram plus ``nulls`` copies of the median: ranks of the
+    values from the median on move up by that many. About 20 numbers come to the driver."""
     sensors, capped = list(params.sensors), list(params.capped)
-    first = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}") for c in sensors],
-                   *[F.approx_count_distinct(c).alias(f"nd_{c}") for c in sensors]).first().asDict()
-    if max(first[f"nd_{c}"] or 0 for c in sensors) > exact_map_limit:
-        return cleaning_stats(df, params).first().asDict()
-    stats = {f"nulls_{c}": int(first[f"nulls_{c}"] or 0) for c in sensors}
-    med_cols = [c for c in sensors if all_medians or stats[f"nulls_{c}"] > 0]
-    if med_cols:
-        row = df.agg(*[F.percentile(c, 0.5).alias(f"med_{c}") for c in med_cols]).first().asDict()
-        stats.update(row)
-    for c in sensors:
-        stats.setdefault(f"med_{c}", None)
-    imputed = [F.coalesce(F.col(c), F.lit(float(stats[f"med_{c}"])))
-               if stats[f"nulls_{c}"] and stats[f"med_{c}"] is not None else F.col(c) for c in capped]
-    qrow = df.agg(*[F.percentile(e, [0.25, 0.75]).alias(c) for e, c in zip(imputed, capped)]).first()
-    k = params.iqr_factor
+    hist = materialize(column_histograms(df, sensors), "histogram")
+    nulls = {r["col"]: r["cnt"] for r in hist.where(F.col("value").isNull()).collect()}  # one row per sensor
+    totals = materialize(running_totals(hist.where(F.col("value").isNotNull()), ["value"], ["cnt"], ["col"]).select(
+        "col", "value", "cnt", F.col("cnt_before").alias("before"), F.col("cnt_total").alias("total")), "ranks")
+    medians = {r["col"]: r["q"] for r in _at_ranks(totals, [0.5]).collect()}
+    stats = {f"nulls_{c}": int(nulls.get(c, 0)) for c in sensors} | {f"med_{c}": medians.get(c) for c in sensors}
+
+    gaps = [(c, medians[c], int(nulls[c])) for c in capped if nulls.get(c) and c in medians]
+    filled = totals.where(F.col("col").isin(capped))
+    if gaps:
+        gap = F.broadcast(df.sparkSession.createDataFrame(gaps, "col string, med double, cnt long"))  # one row per sensor
+        at = filled.join(gap.withColumnRenamed("cnt", "extra"), "col", "left").select(
+            "col", "value", "cnt", (F.col("before") + F.when(F.col("value") >= F.col("med"), F.col("extra")).otherwise(0))
+            .alias("before"), (F.col("total") + F.coalesce("extra", F.lit(0))).alias("total"))
+        below = filled.join(gap.withColumnRenamed("cnt", "extra"), "col").groupBy("col", "med", "extra").agg(
+            F.coalesce(F.sum(F.when(F.col("value") < F.col("med"), F.col("cnt"))), F.lit(0)).alias("before"),
+            F.max("total").alias("total"))
+        filled = at.unionByName(below.select("col", F.col("med").alias("value"), F.col("extra").alias("cnt"), "before",
+                                             (F.col("total") + F.col("extra")).alias("total")))
+    quart = {(r["col"], r["p"]): r["q"] for r in _at_ranks(filled, [0.25, 0.75]).collect()}
     for c in capped:
-        q1, q3 = (qrow[c] or [None, None])
-        stats[f"q1_{c}"], stats[f"q3_{c}"] = q1, q3
-        if q1 is not None:
-            stats[f"lo_{c}"] = q1 - (q3 - q1) * k
-            stats[f"hi_{c}"] = q3 + (q3 - q1) * k
-        else:
-            stats[f"lo_{c}"] = stats[f"hi_{c}"] = None
+        q1, q3 = quart.get((c, 0.25)), quart.get((c, 0.75))
+        known = q1 is not None
+        stats |= {f"q1_{c}": q1, f"q3_{c}": q3, f"lo_{c}": q1 - (q3 - q1) * params.iqr_factor if known else None,
+                  f"hi_{c}": q3 + (q3 - q1) * params.iqr_factor if known else None}
     return stats
 
 

@@ -20,16 +20,24 @@ def _materialize(df: DataFrame) -> DataFrame:
     the row branch must see the same physical partitions, and a recomputed upstream
     shuffle may be coalesced differently by AQE. Reliable checkpoint into the
     cluster's shared ``spark.checkpoint.dir`` (never a local checkpoint)."""
-    from shopfloor.session import checkpoint_dir
+    from shopfloor.session import shared_dir
 
-    checkpoint_dir(df.sparkSession, "positions")  # ensures the shared dir is set
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, num_partitions: int | None, keys: list[Column]) -> DataFrame:
+    """Range-partitioned rows; without a fixed number, adaptive execution merges small ranges
+    (neighbours, so partition numbers keep the order)."""
+    return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+
+
+def _join_spans(rows: DataFrame, spans: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Join on the partition number and the group, NULL groups included."""
+    same = rows["_pid"] == spans["_pid"]
+    for g in group:
+        same = same & rows[g].eqNullSafe(spans[g])
+    return rows.join(spans, same).drop(spans["_pid"], *[spans[g] for g in group])
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -43,9 +51,8 @@ def row_positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[
     ``order`` (with ``group``) must be unique, otherwise positions of tied rows
     are arbitrary (as with any row_number).
     """
-    n = _n_parts(df, num_partitions)
     keys = list(group) + list(order)
-    ranged = _materialize(df.repartitionByRange(n, *_cols(keys))
+    ranged = _materialize(_ranged(df, num_partitions, _cols(keys))
                           .sortWithinPartitions(*_cols(keys))
                           .withColumn("_pid", F.spark_partition_id())
                           .withColumn("_rid", F.monotonically_increasing_id()))
@@ -55,7 +62,7 @@ def row_positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("_pid", *group, "_first",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    out = ranged.join(spans, ["_pid", *group])
+    out = _join_spans(ranged, spans, group)
     return out.withColumn(pos_col, F.col("_offset") + F.col("_rid") - F.col("_first")) \
         .drop("_pid", "_rid", "_first", "_offset")
 
@@ -64,9 +71,8 @@ def running_totals(df: DataFrame, order: Sequence[str], weights: Sequence[str],
                    suffix: str = "_before", num_partitions: int | None = None) -> DataFrame:
     """Add ``<w><suffix>`` = sum of ``w`` over the rows strictly before this one in
     ``order`` within ``group``, and ``<w>_total`` = the group's sum of ``w``."""
-    n = _n_parts(df, num_partitions)
     keys = list(group) + list(order)
-    ranged = _materialize(df.repartitionByRange(n, *_cols(keys)).withColumn("_pid", F.spark_partition_id()))
+    ranged = _materialize(_ranged(df, num_partitions, _cols(keys)).withColumn("_pid", F.spark_partition_id()))
     sums = ranged.groupBy("_pid", *group).agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     w_before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*group)
@@ -78,7 +84,7 @@ def running_totals(df: DataFrame, order: Sequence[str], weights: Sequence[str],
         .rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(w).over(local_w), F.lit(0)).alias(f"_l_{w}")
                                  for w in weights])
-    out = local.join(offs, ["_pid", *group])
+    out = _join_spans(local, offs, group)
     return out.select(*df.columns,
                       *[(F.col(f"_o_{w}") + F.col(f"_l_{w}")).alias(f"{w}{suffix}") for w in weights],
                       *[F.col(f"{w}_total") for w in weights])

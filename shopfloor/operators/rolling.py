@@ -7,12 +7,12 @@ sort, all frames in one Window operator). Keys with more than
 and the last ``lookback`` rows of every chunk are copied into the next chunk as
 read-only context. Bounded frames are then exact inside each chunk; unbounded
 fills carry the last/first non-null value across chunks through a small
-per-chunk summary. The hot-key list is broadcast: it holds at most
-``total_rows / hot_rows`` keys.
+per-chunk summary. NULL keys are one key, like any other.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,28 +24,27 @@ from shopfloor.operators.positions import row_positions
 Builder = Callable[[WindowSpec], list[Column]]
 
 
-MAX_LISTED_HOT_KEYS = 10_000
-
-
 def split_hot_keys(df: DataFrame, key: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(normal rows, hot rows or None). The hot-key list is fetched once; it holds at most
-    ``total_rows / hot_rows`` keys. Past ``MAX_LISTED_HOT_KEYS`` it stays a DataFrame
-    and is broadcast-joined instead of inlined."""
+    """(normal rows, hot rows or None); together they are exactly ``df``.
+
+    A NULL key is a key like any other: rows are tagged by a null-safe join with the hot keys (at
+    most ``total_rows / hot_rows`` of them), whose strategy Spark picks from their size."""
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_key_rows"))
-    hot = counts.where(F.col("_key_rows") > hot_rows).select(*key)
-    listed = hot.limit(MAX_LISTED_HOT_KEYS + 1).collect()
-    if not listed:
+    hot = counts.where(F.col("_key_rows") > hot_rows).select(
+        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)], F.lit(True).alias("_hot")).checkpoint()
+    if not hot.limit(1).count():
         return df, None
-    if len(listed) <= MAX_LISTED_HOT_KEYS:
-        rows = [tuple(r) for r in listed]
-        if len(key) == 1:
-            is_hot = F.col(key[0]).isin([r[0] for r in rows])
-        else:
-            is_hot = F.struct(*key).isin([F.struct(*[F.lit(v) for v in r]) for r in rows])
-        return df.where(~is_hot), df.where(is_hot)
-    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(key), "left")
-    return (tagged.where(F.col("_hot").isNull()).drop("_hot"),
-            tagged.where(F.col("_hot")).drop("_hot"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(key)])
+    tagged = df.join(hot, same, "left")
+    return (tagged.where(F.col("_hot").isNull()).select(*df.columns),
+            tagged.where(F.col("_hot")).select(*df.columns))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys)`` where NULL keys match each other."""
+    names = {k: f"_r_{k}" for k in keys}
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
 
 
 def keyed_windows(df: DataFrame, key: Sequence[str], order: Sequence[str], build: Builder,
@@ -119,7 +118,7 @@ def _carry_fills(rows: DataFrame, positioned: DataFrame, key, fills) -> DataFram
                 w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cf_{alias}"),
             F.last(f"_first_{alias}", ignorenulls=True).over(
                 w_rev.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cb_{alias}"))])
-    out = rows.join(carry, [*key, "_chunk"], "left")
+    out = join_null_safe(rows, carry, [*key, "_chunk"], "left")
     return out.withColumns({
         alias: F.coalesce(F.col(f"_ff_{alias}"), F.col(f"_cf_{alias}"), F.col(f"_bf_{alias}"),
                           F.col(f"_cb_{alias}"))

@@ -76,11 +76,20 @@ def test_running_totals(spark):
     assert _rows(got, KEYS + ["w_before", "w_total"]) == _rows(want, KEYS + ["w_before", "w_total"])
 
 
-def test_many_hot_keys_use_broadcast_tagging(spark, monkeypatch):
-    from shopfloor.operators import rolling
-    monkeypatch.setattr(rolling, "MAX_LISTED_HOT_KEYS", 0)
+def test_null_keys_keep_every_row(spark):
+    """NULL is a key like any other, normal or hot."""
     raw = B.telemetry(spark, SF_SMALL)
-    cols = KEYS + features.feature_names()
-    plain = features.engineer_features(raw, B.TELEMETRY_ORDER)
-    hot = features.engineer_features(raw, B.TELEMETRY_ORDER, skew=SkewParams(hot_rows=3, chunk_rows=30))
-    assert _rows(plain, cols) == _rows(hot, cols)
+    for share in (97, 3):  # few NULL machines, or a third of all rows
+        t = raw.withColumn("machine_id", F.when(F.col("k3") % share != 0, F.col("machine_id")))
+        out = {}
+        for hot_rows in (10**9, 600, 20):
+            skew = SkewParams(hot_rows=hot_rows, chunk_rows=50)
+            lagged = features.true_lag(t, B.TELEMETRY_ORDER, ["temperature"], skew=skew)
+            filled = features.fill_forward_back(t, B.TELEMETRY_ORDER, ["vibration"], skew=skew)
+            assert lagged.count() == filled.count() == raw.count()
+            out[hot_rows] = (_rows2(lagged, [*KEYS, "temperature_prev"]), _rows2(filled, [*KEYS, "vibration_filled"]))
+        assert out[10**9] == out[600] == out[20]
+
+
+def _rows2(df, cols):
+    return sorted(str(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in df.select(*cols).collect())

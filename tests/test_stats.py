@@ -1,24 +1,37 @@
+from pyspark.sql import functions as F
+
+from shopfloor.functions.constants import CleaningParams
 from shopfloor.operators import cleaning
 from shopfloor.sources import bindings as B
 
 from conftest import SF_SMALL
 
 
-def test_distributed_stats_equal_fast_path(spark):
+def test_stats_equal_percentile(spark):
+    """The histogram path equals Spark's exact percentile on the raw and on the imputed columns."""
     t = B.telemetry(spark, SF_SMALL)
-    fast = cleaning.fit_stats(t, all_medians=True)
-    dist = cleaning.fit_stats(t, all_medians=True, exact_map_limit=0)
-    for k in ["med_temperature", "med_vibration", "med_rpm", "q1_temperature", "q3_vibration", "lo_pressure",
-              "hi_temperature", "nulls_vibration"]:
-        assert abs(fast[k] - dist[k]) < 1e-9, k
+    got = cleaning.fit_stats(t)
+    sensors = ["temperature", "vibration", "pressure", "rpm", "voltage"]
+    med = t.agg(*[F.percentile(c, 0.5).alias(c) for c in sensors]).first()
+    for c in sensors:
+        assert abs(got[f"med_{c}"] - med[c]) < 1e-9
+    capped = [k[3:] for k in got if k.startswith("q1_")]
+    quart = t.fillna({c: med[c] for c in sensors}).agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in capped]).first()
+    for c in capped:
+        assert abs(got[f"q1_{c}"] - quart[c][0]) < 1e-9 and abs(got[f"q3_{c}"] - quart[c][1]) < 1e-9
+
+
+def test_interpolated_median_between_values_and_empty_columns(spark):
+    p = CleaningParams(sensors=("v", "w"), capped=("v", "w"))
+    df = spark.createDataFrame([(1.0, None), (4.0, None), (None, None), (None, None), (None, None)], "v double, w double")
+    st = cleaning.fit_stats(df, p)
+    assert (st["med_v"], st["q1_v"], st["q3_v"], st["nulls_v"]) == (2.5, 2.5, 2.5, 3)
+    assert st["med_w"] is None and st["q1_w"] is None and st["nulls_w"] == 5
 
 
 def test_quartiles_use_imputed_values(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,), (None,), (10.0,)], "v double")
-    from shopfloor.functions.constants import CleaningParams
     p = CleaningParams(sensors=("v",), capped=("v",))
     st = cleaning.fit_stats(df, p)
     # imputed column: 1, 2, 2, 2, 10 -> q1 = 2, q3 = 2
     assert (st["med_v"], st["q1_v"], st["q3_v"]) == (2.0, 2.0, 2.0)
-    st2 = cleaning.fit_stats(df, p, exact_map_limit=0)
-    assert (st2["med_v"], st2["q1_v"], st2["q3_v"]) == (2.0, 2.0, 2.0)
