@@ -81,8 +81,7 @@ def q_sink_clean(spark, sf_dir):
     machine filter skips files by min/max statistics (no directory per machine)."""
     path = checkpoint_dir(spark, "clean")
     f = featured(spark, sf_dir)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    f.repartitionByRange(n, "machine_id", "ts").sortWithinPartitions("machine_id", "ts", "k1", "k2", "k3") \
+    f.repartitionByRange("machine_id", "ts").sortWithinPartitions("machine_id", "ts", "k1", "k2", "k3") \
         .write.mode("overwrite").parquet(path)
     return round_doubles(spark.read.parquet(path).select(*_FEAT))
 
@@ -132,10 +131,10 @@ def q_feedback_json(spark, sf_dir):
 SELECT CAST(doc_id AS VARCHAR) AS source, count(*) AS n_sections, CAST(sum(length(content)) AS BIGINT) AS n_chars
 FROM chunks GROUP BY doc_id"""))
 def q_manuals(spark, sf_dir):
-    """Documents written one file per manual, read back whole, then sectioned."""
+    """Documents written as a bundle of manuals, read back whole, then sectioned."""
     path = checkpoint_dir(spark, "manuals")
     FS.write_manuals(B.table(spark, sf_dir, "documents"), path)
-    m = FS.read_manuals(spark, path).withColumn("doc_id", F.col("source"))
+    m = FS.read_manual_bundle(spark, path).withColumn("doc_id", F.col("source"))
     sec = B.section_rows(m.select("doc_id", "source", "text"), "\n", 20)
     return sec.groupBy(F.col("doc_id").alias("source")).agg(
         F.count(F.lit(1)).alias("n_sections"), F.sum(F.length("content")).cast("long").alias("n_chars"))
