@@ -104,6 +104,39 @@ EXPLAIN_NORMAL = ("Model Confidence: {c}% Normal. All sensor telemetry signals r
                   "healthy operational limits.")
 EXPLAIN_RISK = "Failure Risk Confidence: {c}%. Primary Drivers: {r}."
 
+# The prompt for a language model and the text used without one. Placeholders in braces.
+PROMPT = """You are an Autonomous AI Factory Intelligence System explaining a predictive maintenance alert to a plant supervisor.
+
+PREDICTIVE MODEL OUTPUT:
+{summary}
+
+RETRIEVED FACTORY SOP & MANUAL EVIDENCE:
+{evidence}
+
+INSTRUCTIONS:
+1. Explain what is happening in the factory now and why the ML model flagged a risk.
+2. Ground your explanation directly in the retrieved SOP evidence and cite the exact source file and section.
+3. Recommend specific maintenance and safety actions for the operator to take.
+4. Keep the explanation concise, professional, and clear for high-stakes manufacturing operations."""
+PROMPT_SUMMARY = """{
+  "machine_id": "{machine}",
+  "failure_probability": {probability},
+  "vibration": {vibration},
+  "temperature": {temperature}
+}"""
+GROUNDED_EXPLANATION = """**Current Factory Status:**
+The predictive telemetry engine has detected an abnormal anomaly pattern on machine **{machine}**.
+- **Failure Probability:** {percent}%
+- **Key Sensor Indicators:** Vibration ({vibration} mm/s) and Temperature ({temperature}°C).
+
+**Grounded RAG SOP Evidence ({source}):**
+> "{content}"
+
+**Recommended Action Plan:**
+1. **Immediate Step:** {action}
+2. **Maintenance Step:** Inspect spindle bearing lubrication and check thermal fuse condition per **{source}**.
+3. **Safety Protocol:** Require safety goggles and thermal gloves before inspecting mechanical housing."""
+
 # Surface verdict thresholds and labels.
 HEAT_RATIO_LIMIT = 1.4
 EDGE_DENSITY_LOW = 0.015

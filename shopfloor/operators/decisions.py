@@ -25,9 +25,9 @@ def maintenance_facts(readings: DataFrame) -> DataFrame:
 
 def event_fan_in(maint: DataFrame, vision: DataFrame, knowledge: DataFrame) -> DataFrame:
     """maint(event_id, image_id, slot, ...) + vision(image_id, defect_type, severity,
-    confidence) + knowledge(slot, top_source) -> one row per event."""
+    confidence) + knowledge(slot, top_source, top_content, evidence) -> one row per event."""
     v = vision.select("image_id", "defect_type", "severity", "confidence")
-    k = F.broadcast(knowledge.select("slot", "top_source"))
+    k = knowledge.select("slot", "top_source", "top_content", "evidence")
     j = maint.join(v, "image_id", "left").join(k, "slot", "left")
     return j.withColumn("top_source", F.coalesce("top_source", F.lit(K.DEFAULT_TOP_SOURCE)))
 

@@ -4,12 +4,11 @@ Weights follow the smooth-idf TF-IDF model: tf = raw term count, idf = ln((1+n)/
 every vector L2-normalised, cosine = dot product of unit vectors. Terms are runs of at
 least two letters/digits/underscores, lower-cased, minus an English stop list.
 
-Plan shape: chunk tokens -> (chunk, term, tf) [partial agg] -> df per term [partial
-agg] -> weights [join on term] -> chunk norms [agg per chunk]. Query weights are
-small (one row per query term); they are broadcast only after their row count is
-checked, otherwise the dot-product join is a sort-merge join whose hot terms AQE's
-skew handling splits. Candidates are reduced to top-k per query with a window
-limit that Spark applies before and after the shuffle.
+Plan shape: chunk tokens -> (chunk, term, tf) [partial agg, stored] -> idf per term [partial agg,
+stored] -> chunk norms [agg per chunk, stored]. A query reads only the postings of its own
+terms; the join strategy is left to adaptive execution. Candidates are reduced to top-k per
+query with a window limit that Spark applies before and after the shuffle; a query with fewer
+than k matching chunks is filled up with chunks of similarity zero, the latest first.
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions.constants import ENGLISH_STOP_WORDS
+from shopfloor.session import materialize
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-BROADCAST_MAX_QUERY_TERMS = 2_000_000
 
 
 def tokens(text: str | Column) -> Column:
@@ -47,32 +46,22 @@ def idf_table(chunk_tf: DataFrame, ids: list[str], n_docs: int) -> DataFrame:
 def unit_weights(tf: DataFrame, idf: DataFrame, ids: list[str]) -> DataFrame:
     """(ids..., term, w) with w = tf * idf / ||tf * idf||; terms missing from idf drop."""
     w = tf.join(idf.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(*ids).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, ids).select(*ids, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def _materialize(df: DataFrame, purpose: str) -> DataFrame:
-    from shopfloor.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession, purpose)
-    return df.checkpoint(eager=True)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))
+    return w.select(*ids, "term", (F.col("w") / norm).alias("w"))
 
 
 class TfidfIndex:
-    """Index over ``chunks(chunk ids..., content)``.
-
-    Building it tokenises the corpus once and materialises two tables in the shared
-    checkpoint folder, like an inverted index: term frequencies (chunk, term, tf) and
-    unit weights (chunk, term, w). idf is a small aggregate of the first. Queries
-    only read these tables."""
+    """Index over ``chunks(chunk ids..., content)``: term frequencies, idf and chunk norms, each
+    stored once in the shared checkpoint folder. Queries only read these tables."""
 
     def __init__(self, chunks: DataFrame, ids: list[str], text: str = "content", stop_words: bool = True):
-        self.ids, self.stop_words = ids, stop_words
-        self.chunks = _materialize(chunks, "tfidf-chunks")  # sectioned once, reused for evidence
-        self.tf = _materialize(term_counts(self.chunks, ids, text, stop_words), "tfidf-tf")
-        self.n_docs = self.chunks.count()  # the fitted corpus size, a single number
-        self.idf = idf_table(self.tf, ids, self.n_docs)
-        self.weights = _materialize(unit_weights(self.tf, self.idf, ids), "tfidf-w")
+        self.ids, self.stop_words, self.chunks = ids, stop_words, chunks
+        self.tf = materialize(term_counts(chunks, ids, text, stop_words), "tfidf-tf")
+        self.n_docs = chunks.count()  # the fitted corpus size, a single number
+        self.idf = materialize(idf_table(self.tf, ids, self.n_docs), "tfidf-idf")
+        w = F.col("tf") * F.col("idf")
+        self.norms = materialize(self.tf.join(self.idf, "term").groupBy(*ids)
+                                 .agg(F.sqrt(F.sum(w * w)).alias("norm")), "tfidf-norms")
 
     def query_weights(self, queries: DataFrame, qid: str, text: str) -> DataFrame:
         qtf = term_counts(queries, [qid], text, self.stop_words)
@@ -80,18 +69,20 @@ class TfidfIndex:
 
     def similarities(self, queries: DataFrame, qid: str, text: str) -> DataFrame:
         """(qid, chunk ids..., similarity) for every pair sharing at least one term."""
-        qtf = term_counts(queries, [qid], text, self.stop_words)
-        qw = unit_weights(qtf, self.idf, [qid]).withColumnRenamed("w", "qw")
-        # query weights have at most one row per query term: count the terms, not the weights
-        if qtf.count() <= BROADCAST_MAX_QUERY_TERMS:
-            qw = F.broadcast(qw)
-        pairs = self.weights.join(qw, "term")
-        return pairs.groupBy(qid, *self.ids).agg(F.sum(F.col("qw") * F.col("w")).alias("similarity"))
-
-    def top_k(self, queries: DataFrame, qid: str, text: str, k: int = 2, order_desc: list[str] | None = None
-              ) -> DataFrame:
-        """Best ``k`` chunks per query; ties on similarity go to the later chunk."""
-        sims = self.similarities(queries, qid, text)
-        tie = [F.col(c).desc() for c in (order_desc or self.ids)]
-        w = Window.partitionBy(qid).orderBy(F.round("similarity", 9).desc(), *tie)
+        qw = self.query_weights(queries, qid, text).join(self.idf.select("term", "idf"), "term") \
+            .select(qid, "term", (F.col("w") * F.col("idf")).alias("qw"))
+        dots = self.tf.join(qw, "term").groupBy(qid, *self.ids).agg(F.sum(F.col("qw") * F.col("tf")).alias("dot"))
+        return dots.join(self.norms, self.ids).select(qid, *self.ids, (F.col("dot") / F.col("norm")).alias("similarity"))
+
+    def top_k(self, queries: DataFrame, qid: str, text: str, k: int = 2) -> DataFrame:
+        """Best ``k`` chunks per query (all chunks if there are fewer); ties on similarity go to
+        the later chunk."""
+        sims = materialize(self.similarities(queries, qid, text), "tfidf-similarities")
+        last = self.chunks.select(*self.ids).orderBy(*[F.col(c).desc() for c in self.ids]).limit(2 * k).collect()
+        if last:  # at most 2 k rows: enough, since fewer than k of them can be matches of a short query
+            kinds = {f.name: f.dataType for f in self.chunks.schema.fields}
+            fill = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in self.ids]) for r in last])
+            pad = queries.select(qid, F.inline(fill)).distinct().join(sims, [qid, *self.ids], "left_anti")
+            sims = sims.unionByName(pad.withColumn("similarity", F.lit(0.0)))
+        w = Window.partitionBy(qid).orderBy(F.round("similarity", 9).desc(), *[F.col(c).desc() for c in self.ids])
         return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,13 +5,15 @@ metrics, run-log pivot)."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shopfloor.functions import constants as K
 from shopfloor.functions import rules as R
 from shopfloor.operators import decisions as D
 from shopfloor.operators import imaging as I
-from shopfloor.operators import retrieval as RT
 from shopfloor.operators import scenarios as SC
 from shopfloor.plans import q_imaging, q_retrieval, q_scenarios
 from shopfloor.plans import sqltext as S
@@ -26,15 +28,30 @@ def vision_table(spark, sf_dir):
 
 
 def knowledge_table(spark, sf_dir):
-    """Top manual section for every distinct incident text (slot = event_id % 6)."""
+    """Evidence for every distinct incident text (slot = event_id % 6): the best section's source
+    and content, and the evidence block of the best two."""
     inc = B.incidents(spark, sf_dir)
     queries = inc.select((F.col("event_id") % 6).alias("query_id"), F.col("incident_text").alias("query")) \
         .distinct()
-    ix = RT.TfidfIndex(B.chunks(spark, sf_dir), ["doc_id", "section_no"])
-    top = ix.top_k(queries, "query_id", "query", 1)
-    src = ix.chunks.select("doc_id", "section_no", "source")
-    return top.join(src, ["doc_id", "section_no"]).select(F.col("query_id").alias("slot"),
-                                                         F.col("source").alias("top_source"))
+    ev = q_retrieval.evidence_of(q_retrieval.index(spark, sf_dir), queries)
+    block = F.concat(F.lit("Source: "), "source", F.lit("\n"), "content")
+    lst = ev.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "content", block.alias("block"))))
+                                     .alias("ev"))
+    return lst.select(F.col("query_id").alias("slot"), F.col("ev")[0]["source"].alias("top_source"),
+                      F.col("ev")[0]["content"].alias("top_content"),
+                      F.array_join(F.transform("ev", lambda e: e["block"]), "\n\n").alias("evidence"))
+
+
+def fill_text(template: str, values: dict) -> Column:
+    """The template as a Column, every {name} replaced by its value's text."""
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return F.concat(*[values[x].cast("string") if n % 2 else F.lit(x) for n, x in enumerate(parts)])
+
+
+def fill_text_sql(template: str, values: dict) -> str:
+    parts = re.split(r"\{(" + "|".join(values) + r")\}", template)
+    return " || ".join(f"CAST({values[x]} AS VARCHAR)" if n % 2 else "'" + x.replace("'", "''") + "'"
+                       for n, x in enumerate(parts))
 
 
 def fan_in(spark, sf_dir):
@@ -61,9 +78,12 @@ def _tmpl_sql(tpl: str) -> str:
 FANIN = S.with_ctes(S.READINGS, q_retrieval.tfidf_sql(_INC_QUERIES), q_imaging.BASE, f"""
 maint AS (SELECT event_id, machine_id, temperature, vibration, pressure, image_id, event_id % 6 AS slot,
                  {S.machine_risk_sql()} AS failure_probability FROM readings),
-know AS (SELECT t.query_id AS slot, c.source AS top_source
-         FROM topk t JOIN chunks c USING (doc_id, section_no) WHERE t.rank = 1),
-fan AS (SELECT m.*, {S.machine_health_sql('m.failure_probability')} AS health_status,
+evd AS (SELECT t.query_id, t.rank, c.source, c.content FROM topk t JOIN chunks c USING (doc_id, section_no)),
+know AS (SELECT query_id AS slot, max(CASE WHEN rank = 1 THEN source END) AS top_source,
+                max(CASE WHEN rank = 1 THEN content END) AS top_content,
+                string_agg('Source: ' || source || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS evidence
+         FROM evd GROUP BY query_id),
+fan AS (SELECT m.*, k.top_content, k.evidence, {S.machine_health_sql('m.failure_probability')} AS health_status,
                v.defect_type, v.severity, v.confidence,
                coalesce(k.top_source, '{K.DEFAULT_TOP_SOURCE}') AS top_source
         FROM maint m LEFT JOIN vd v USING (image_id) LEFT JOIN know k USING (slot)),
@@ -107,19 +127,36 @@ def q_top_source_events(spark, sf_dir):
     return fan_in(spark, sf_dir).groupBy("slot", "top_source").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-_EXPL_GROUNDED = """CASE WHEN true THEN '**Current Factory Status:** abnormal anomaly pattern on machine **' || machine_id
-  || '**. Failure Probability: ' || printf('%.1f', failure_probability * 100) || '%. Grounded evidence (' || top_source
-  || '). Recommended: ' || action_summary END"""
+_TEXT_SQL = {"machine": "machine_id", "probability": "round(failure_probability, 4)", "vibration": "round(vibration, 2)",
+             "temperature": "round(temperature, 2)", "percent": "printf('%.1f', failure_probability * 100)",
+             "source": "top_source", "content": f"coalesce(top_content, '{K.DEFAULT_EVIDENCE_CONTENT}')", "action": "action_summary"}
+
 
+def _text_values() -> dict:
+    return {"machine": F.col("machine_id"), "probability": F.round("failure_probability", 4),
+            "vibration": F.round("vibration", 2), "temperature": F.round("temperature", 2),
+            "percent": F.format_string("%.1f", F.col("failure_probability") * 100), "source": F.col("top_source"),
+            "content": F.coalesce("top_content", F.lit(K.DEFAULT_EVIDENCE_CONTENT)), "action": F.col("action_summary")}
 
-@register("p_explain_grounded", FANIN + f" SELECT event_id, {_EXPL_GROUNDED} AS explanation FROM dec")
+
+@register("p_explain_grounded", FANIN + f" SELECT event_id, {fill_text_sql(K.GROUNDED_EXPLANATION, _TEXT_SQL)} AS explanation FROM dec")
 def q_grounded(spark, sf_dir):
-    """The grounded explanation used when no language model is called."""
-    f = fan_in(spark, sf_dir)
-    text = F.concat(F.lit("**Current Factory Status:** abnormal anomaly pattern on machine **"), "machine_id",
-                    F.lit("**. Failure Probability: "), F.format_string("%.1f", F.col("failure_probability") * 100),
-                    F.lit("%. Grounded evidence ("), "top_source", F.lit("). Recommended: "), "action_summary")
-    return f.select("event_id", text.alias("explanation"))
+    """The grounded explanation used when no language model is called: the event's own readings,
+    the evidence found for it and the decided action."""
+    return fan_in(spark, sf_dir).select("event_id", fill_text(K.GROUNDED_EXPLANATION, _text_values()).alias("explanation"))
+
+
+_SUMMARY_SQL = fill_text_sql(K.PROMPT_SUMMARY, _TEXT_SQL)
+
+
+@register("p_prompt", FANIN + f"""
+SELECT event_id, {fill_text_sql(K.PROMPT, {"summary": "summary", "evidence": "evidence"})} AS prompt
+FROM (SELECT *, {_SUMMARY_SQL} AS summary FROM dec)""")
+def q_prompt(spark, sf_dir):
+    """The whole prompt per event: model output as JSON, evidence block, instructions."""
+    summary = fill_text(K.PROMPT_SUMMARY, _text_values())
+    return fan_in(spark, sf_dir).select(
+        "event_id", fill_text(K.PROMPT, {"summary": summary, "evidence": F.col("evidence")}).alias("prompt"))
 
 
 # --- incident report rows ------------------------------------------------------------------

@@ -12,6 +12,7 @@ from shopfloor.plans.registry import register, round_doubles
 from shopfloor.sources import bindings as B
 
 IDS = ["doc_id", "section_no"]
+PARAMS = K.RetrievalParams()
 
 
 def index(spark, sf_dir) -> RT.TfidfIndex:
@@ -51,9 +52,14 @@ qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY query_id),
 qu AS (SELECT query_id, term, w / norm AS w FROM qw JOIN qn USING (query_id)),
 sims AS (SELECT query_id, doc_id, section_no, sum(qu.w * cu.w) AS similarity
          FROM qu JOIN cu USING (term) GROUP BY query_id, doc_id, section_no),
+lastc AS (SELECT doc_id, section_no FROM chunks ORDER BY doc_id DESC, section_no DESC LIMIT 4),
+padded AS (SELECT query_id, doc_id, section_no, similarity FROM sims
+           UNION ALL SELECT DISTINCT q.query_id, l.doc_id, l.section_no, 0.0 FROM queries q, lastc l
+           WHERE NOT EXISTS (SELECT 1 FROM sims s WHERE s.query_id = q.query_id AND s.doc_id = l.doc_id
+                             AND s.section_no = l.section_no)),
 topk AS (SELECT * , row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC,
                                        doc_id DESC, section_no DESC) AS rank
-         FROM sims QUALIFY rank <= 2)""")
+         FROM padded QUALIFY rank <= 2)""")
 TFIDF = tfidf_sql()
 
 
@@ -112,9 +118,7 @@ def q_j_idf(spark, sf_dir):
 
 @register("a_l2_norm", TFIDF + " SELECT doc_id, section_no, round(norm, 6) AS norm FROM cn")
 def q_norm(spark, sf_dir):
-    ix = index(spark, sf_dir)
-    w = ix.tf.join(ix.idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return round_doubles(w.groupBy(*IDS).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+    return round_doubles(index(spark, sf_dir).norms)
 
 
 @register("j_query_terms", TFIDF + " SELECT query_id, term, round(w, 6) AS w FROM qu")
@@ -131,13 +135,23 @@ def q_cosine(spark, sf_dir):
                                                       F.max("similarity").alias("max_similarity")))
 
 
-def evidence(spark, sf_dir, k: int = 2):
-    """Top-k sections per query with their source label and text."""
-    ix = index(spark, sf_dir)
-    top = ix.top_k(B.queries(spark, sf_dir), "query_id", "query", k)
-    chunks = ix.chunks.select(*IDS, "source", "content")
-    return top.join(chunks, IDS).select("query_id", "rank", *IDS, "source", "content",
-                                        F.round("similarity", 4).alias("similarity"))
+def evidence_of(ix: RT.TfidfIndex, queries, k: int = PARAMS.top_k):
+    """Top-k sections per query (query_id, query) with their source label and text; with an empty
+    corpus every query gets the default section."""
+    top = ix.top_k(queries, "query_id", "query", k)
+    found = top.join(ix.chunks.select(*IDS, "source", "content"), IDS).select(
+        "query_id", "rank", *IDS, "source", "content", F.round("similarity", 4).alias("similarity"))
+    if ix.n_docs:
+        return found
+    kinds = {f.name: f.dataType for f in found.schema.fields}
+    return queries.select("query_id").distinct().select(
+        "query_id", F.lit(1).alias("rank"), *[F.lit(None).cast(kinds[c]).alias(c) for c in IDS],
+        F.lit(K.DEFAULT_EVIDENCE_SOURCE).alias("source"), F.lit(K.DEFAULT_EVIDENCE_CONTENT).alias("content"),
+        F.lit(1.0).alias("similarity"))
+
+
+def evidence(spark, sf_dir, k: int = PARAMS.top_k):
+    return evidence_of(index(spark, sf_dir), B.queries(spark, sf_dir), k)
 
 
 _EVID = TFIDF + """,
@@ -172,14 +186,3 @@ def q_array_agg(spark, sf_dir):
         F.struct("rank", "source", F.col("similarity").cast("string").alias("sim")))).alias("ev"))
     return lst.select("query_id", F.array_join(F.transform("ev", lambda e: e["source"]), " | ").alias("evidence_sources"),
                       F.array_join(F.transform("ev", lambda e: e["sim"]), " | ").alias("evidence_scores"))
-
-
-@register("p_prompt", _EVID + """
-SELECT query_id, string_agg('Source: ' || source || chr(10) || content, chr(10) || chr(10) ORDER BY rank)
-  AS evidence_text FROM ev GROUP BY query_id""")
-def q_prompt(spark, sf_dir):
-    """The evidence block of the model prompt: 'Source: <label>\\n<text>' joined by blank lines."""
-    ev = evidence(spark, sf_dir)
-    lst = ev.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
-        "rank", F.concat(F.lit("Source: "), "source", F.lit("\n"), "content").alias("block")))).alias("ev"))
-    return lst.select("query_id", F.array_join(F.transform("ev", lambda e: e["block"]), "\n\n").alias("evidence_text"))

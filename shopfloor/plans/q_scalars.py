@@ -184,6 +184,13 @@ def q_now(spark, sf_dir):
     return d.select("event_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("logged_at"))
 
 
+@register("s_json_in", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def q_json_in(spark, sf_dir):
+    """JSON text parsed with an explicit schema; text that is no JSON gives NULL."""
+    e = B.table(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
 @register("s_json_out", S.with_ctes(S.READINGS, f"""x AS (SELECT 1)
 SELECT event_id, '{{"machine_id":"' || machine_id || '","health_status":"' || {S.machine_health_sql(S.machine_risk_sql())}
   || '"}}' AS payload FROM readings"""))
