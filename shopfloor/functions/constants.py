@@ -152,20 +152,10 @@ DECISION_STATUS = "LOGGED_TO_CONTINUOUS_LEARNING_QUEUE"
 DEFAULT_DECISION_NOTES = "Approved without modification."
 
 # Retraining formulas: base + min(cap, n * step), 4 decimals.
-RETRAIN_METRICS = [("precision", 0.92, 0.06, 0.01), ("recall", 0.89, 0.08, 0.015),
-                   ("f1_score", 0.905, 0.07, 0.012), ("roc_auc", 0.945, 0.04, 0.008)]
-RETRAIN_BASE_SAMPLES = 2500
-RETRAIN_SAMPLES_STEP = 10
 RETRAIN_LEARNING_RATE = 0.05
 RETRAIN_BASE_ESTIMATORS = 120
 RETRAIN_ESTIMATORS_STEP = 5
-RETRAIN_RUN_NAME = "Retraining_Iter_{n}"
 
-# Feature importance fallback weights.
-IMPORTANCE_FALLBACK = [0.35, 0.28, 0.18, 0.08, 0.05, 0.04, 0.02]
-
-# Report formats.
-FACILITY_ID = "FAC-NORTH-01"
 
 
 # ---------------------------------------------------------------------------

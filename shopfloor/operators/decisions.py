@@ -9,12 +9,14 @@ number of templates, so it is broadcast).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions import constants as K
 from shopfloor.functions import rules as R
-from shopfloor.operators.positions import row_positions
+from shopfloor.operators.positions import row_positions, running_totals
 
 
 def maintenance_facts(readings: DataFrame) -> DataFrame:
@@ -66,13 +68,24 @@ def retrain_params(n: Column) -> list[Column]:
             F.concat(F.lit("Retraining_Iter_"), (n + 1).cast("string")).alias("run_name")]
 
 
-def retrain_metrics(n: Column) -> list[Column]:
-    """Formula metrics of the simulated retraining (not measured scores)."""
-    cols = [F.round(F.lit(base) + F.least(F.lit(cap), n * step), 4).alias(name)
-            for name, base, cap, step in K.RETRAIN_METRICS]
-    cols.append((F.lit(K.RETRAIN_BASE_SAMPLES) + n * K.RETRAIN_SAMPLES_STEP).cast("long")
-                .alias("retrained_sample_size"))
-    return cols
+RUN_METRICS = ("approve_rate", "reject_rate", "modify_rate", "feedback_rows")
+
+
+def run_metrics(n: Column, approved: Column, rejected: Column, modified: Column) -> list[Column]:
+    """Measured values of a learning cycle over the first ``n`` decisions of the log."""
+    return [F.round(F.coalesce(x / F.nullif(n, F.lit(0)), F.lit(0.0)), 4).alias(name)
+            for name, x in zip(RUN_METRICS, (approved, rejected, modified))] + [n.cast("long").alias(RUN_METRICS[3])]
+
+
+def learning_runs(log: DataFrame) -> DataFrame:
+    """One run per decision of ``log`` (ts, event_id, decision_type): name, params and what the log up
+    to and including it measures; running totals over ranges, no single-partition window."""
+    kinds = {"_a": "APPROVE", "_r": "REJECT", "_m": "MODIFY"}
+    rows = log.select("ts", "event_id", F.lit(1).alias("_n"), *[(F.col("decision_type") == v).cast("int").alias(k)
+                                                             for k, v in kinds.items()])
+    t = running_totals(rows, ["ts", "event_id"], ["_n", *kinds])
+    upto = {c: F.col(f"{c}_before") + F.col(c) for c in ("_n", *kinds)}
+    return t.select(*run_metrics(upto["_n"], upto["_a"], upto["_r"], upto["_m"]), *retrain_params(upto["_n"]))
 
 
 def iterations(log: DataFrame) -> DataFrame:
@@ -82,11 +95,11 @@ def iterations(log: DataFrame) -> DataFrame:
         .drop("_pos")
 
 
-def run_log_long(runs: DataFrame, metrics: list[str]) -> DataFrame:
-    """Wide run rows -> (run_name, key, value) like one tracked metric per file."""
-    return runs.select("run_name", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("key"), F.col(m).cast("double").alias("value")) for m in metrics
-    ])).alias("kv")).select("run_name", "kv.key", "kv.value")
+def run_log_long(runs: DataFrame, metrics: list[str], params: Sequence[str] = ()) -> DataFrame:
+    """Wide run rows -> (run_name, kind, key, value) like one tracked metric or param per file."""
+    return runs.select("run_name", F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("key"), F.col(m).cast("double").alias("value"))
+        for kind, names in (("metrics", metrics), ("params", params)) for m in names])))
 
 
 def run_log_wide(long: DataFrame, metrics: list[str]) -> DataFrame:

@@ -87,26 +87,43 @@ def fill_forward_back(df: DataFrame, order: Sequence[str], cols: Sequence[str],
 
 
 def sequences(df: DataFrame, order: Sequence[str], features: Sequence[str], label: str,
-              length: int = 12, skew: SkewParams = SkewParams()) -> DataFrame:
-    """Per machine: the ``length`` preceding feature rows and this row's label.
-    A machine's first ``length`` rows have no full history and drop."""
+              length: int = 12, skew: SkewParams = SkewParams(), keep: Sequence[str] = ()) -> DataFrame:
+    """Per machine: the ``length`` preceding feature rows and this row's label (and the
+    columns ``keep``). A machine's first ``length`` rows have no full history and drop."""
 
     def build(w):
         f = w.rowsBetween(-length, -1)
         return [F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(f)
                 .alias("sequence")]
 
-    out = keyed_windows(df.select(*KEY, *order, *features, label), KEY, order, build, length, skew=skew)
+    out = keyed_windows(df.select(*KEY, *order, *features, label, *keep), KEY, order, build, length, skew=skew)
     return out.where(F.size("sequence") == length)
 
 
-def with_split(df: DataFrame, order: Sequence[str], ratios: SplitRatios = SplitRatios()) -> DataFrame:
-    """Positional train/val/test by global order: first int(n*train) rows train, up to
-    int(n*(train+val)) val, rest test. Positions come from range-partitioned counts."""
-    pos = row_positions(df, order, (), "row_index")
+def split_positions(keys: DataFrame, order: Sequence[str], ratios: SplitRatios = SplitRatios()) -> tuple[DataFrame, dict]:
+    """(order columns + row_index, {"train": end, "val": end}): positions in global order from
+    range-partitioned counts; only the key columns are moved."""
+    pos = row_positions(keys.select(*order), order, (), "row_index")
     n = pos.count()  # reads the materialised positions, not the upstream plan
-    train_end = F.lit(int(n * float(ratios.train)))
-    val_end = F.lit(int(n * float(ratios.train + ratios.val)))
-    split = (F.when(F.col("row_index") < train_end, F.lit("train"))
-             .when(F.col("row_index") < val_end, F.lit("val")).otherwise(F.lit("test")))
-    return pos.withColumn("split", split)
+    return pos, {"train": int(n * float(ratios.train)), "val": int(n * float(ratios.train + ratios.val))}
+
+
+def split_name(index: str | Column, ends: dict) -> Column:
+    i = F.col(index) if isinstance(index, str) else index
+    return F.when(i < ends["train"], F.lit("train")).when(i < ends["val"], F.lit("val")).otherwise(F.lit("test"))
+
+
+def with_split(df: DataFrame, order: Sequence[str], ratios: SplitRatios = SplitRatios(),
+               keys: DataFrame | None = None) -> DataFrame:
+    """Positional train/val/test by global order: first int(n*train) rows train, up to
+    int(n*(train+val)) val, rest test. ``order`` must be unique. The two border keys are found
+    on ``keys`` (default: the key columns of ``df``); the rows themselves only compare with them."""
+    pos, ends = split_positions(df if keys is None else keys, order, ratios)
+    kinds = {f.name: f.dataType for f in pos.schema.fields}
+    borders = {r["row_index"]: F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in order])
+               for r in pos.where(F.col("row_index").isin(*ends.values())).collect()}  # at most two rows
+    own, out = F.struct(*order), F.lit("test")
+    for name in ("val", "train"):
+        border = borders.get(ends[name])
+        out = F.lit(name) if border is None else F.when(own < border, F.lit(name)).otherwise(out)
+    return df.withColumn("split", out)

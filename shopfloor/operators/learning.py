@@ -2,12 +2,14 @@
 models on the positional train split, score val/test, evaluate per (model, split)
 with the distributed metric aggregates, read importances.
 
-Fitted models are memoised per (data dir, model spec) inside the driver process,
-so several reports over one model do not retrain it.
+Fitted models are kept in the driver process by model name and a fingerprint of the training
+rows, so several reports over one model do not retrain it and changed data does.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -40,10 +42,12 @@ def with_label(df: DataFrame, label: str = "is_failure") -> DataFrame:
     return df.withColumn("label", F.col(label).cast("double"))
 
 
-def fit_cached(key: tuple, build, train: DataFrame) -> PipelineModel:
-    if key not in _MODELS:
-        _MODELS[key] = build().fit(train)
-    return _MODELS[key]
+def fit_cached(name: str, build, train: DataFrame) -> PipelineModel:
+    stamp = F.xxhash64(*[F.col(c) for c in sorted(train.columns)]).cast("decimal(38,0)")
+    seen = train.agg(F.count(F.lit(1)), F.sum(stamp)).first()
+    if (name, *seen) not in _MODELS:
+        _MODELS[(name, *seen)] = build().fit(train)
+    return _MODELS[(name, *seen)]
 
 
 def scored(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -67,12 +71,16 @@ def importances(spark: SparkSession, model: PipelineModel, features: list[str])
     return spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
 
 
-def fallback_importances(spark: SparkSession, features: list[str]) -> DataFrame:
-    """Fixed physical-sensitivity weights, normalised to sum 1, for a model without importances."""
-    w = K.IMPORTANCE_FALLBACK[:len(features)]
-    df = spark.createDataFrame(list(zip(features, w)), "feature string, w double")
-    from pyspark.sql import Window
-    return df.select("feature", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("importance"))
+def fallback_importances(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(feature, importance) for a model without importances: absolute correlation with the label,
+    normalised to sum 1, in one aggregate; a constant feature counts nothing."""
+    def strength(f):
+        return F.coalesce(F.abs(F.nanvl(F.corr(f, label), F.lit(0.0))), F.lit(0.0))
+
+    row = df.agg(*[strength(f).alias(f) for f in features])
+    total = functools.reduce(lambda x, y: x + y, [F.col(f) for f in features])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), (
+        F.col(f) / F.nullif(total, F.lit(0.0))).alias("importance")) for f in features])))
 
 
 def sequence_vectors(seq: DataFrame) -> DataFrame:

@@ -310,11 +310,13 @@ def q_union(spark, sf_dir):
 
 # --- retraining bookkeeping --------------------------------------------------------------------
 
-def _formula_sql(n: str) -> str:
-    parts = [f"round(CAST({base} AS DOUBLE) + least(CAST({cap} AS DOUBLE), {n} * CAST({step} AS DOUBLE)), 4) AS {name}"
-             for name, base, cap, step in K.RETRAIN_METRICS]
-    parts.append(f"CAST({K.RETRAIN_BASE_SAMPLES} + {n} * {K.RETRAIN_SAMPLES_STEP} AS BIGINT) AS retrained_sample_size")
-    return ", ".join(parts)
+_RATES = {"approve_rate": "APPROVE", "reject_rate": "REJECT", "modify_rate": "MODIFY"}
+
+
+def _rates_sql(over: str) -> str:
+    """Measured run values: shares of the decision kinds, over a window or as an aggregate."""
+    return ", ".join(f"round(coalesce(CAST(sum(CASE WHEN decision_type = '{v}' THEN 1 ELSE 0 END) {over} AS DOUBLE) / "
+                     f"nullif(count(*) {over}, 0), 0), 4) AS {k}" for k, v in _RATES.items()) + f", count(*) {over} AS feedback_rows"
 
 
 def _params_sql(n: str) -> str:
@@ -329,10 +331,12 @@ def q_params(spark, sf_dir):
     return c.select(*D.retrain_params(F.col("n")))
 
 
-@register("p_retrain_metrics", LOG + f" SELECT {_formula_sql('n')} FROM (SELECT count(*) AS n FROM valid)")
+@register("p_retrain_metrics", LOG + f" SELECT {_rates_sql('')} FROM valid")
 def q_metrics(spark, sf_dir):
-    c = valid_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return c.select(*D.retrain_metrics(F.col("n")))
+    """What the decision log measures for the next learning cycle."""
+    kind = {k: F.sum((F.col("decision_type") == v).cast("long")).alias(k) for k, v in _RATES.items()}
+    c = valid_log(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), *kind.values())
+    return c.select(*D.run_metrics(F.col("n"), *[F.col(k) for k in kind]))
 
 
 _ITER = LOG + """,
@@ -347,20 +351,21 @@ def q_iteration(spark, sf_dir):
                      F.concat(F.lit("Retraining_Iter_"), (F.col("iteration") + 1).cast("string")).alias("run_name"))
 
 
-_METRIC_KEYS = [m[0] for m in K.RETRAIN_METRICS] + ["retrained_sample_size"]
+_METRIC_KEYS, _PARAM_KEYS = list(D.RUN_METRICS), ["learning_rate", "n_estimators", "feedback_batch_size"]
 
 
 def _runs(spark, sf_dir):
-    it = D.iterations(valid_log(spark, sf_dir))
-    return it.select(F.concat(F.lit("Retraining_Iter_"), (F.col("iteration") + 1).cast("string")).alias("run_name"),
-                     *D.retrain_metrics(F.col("iteration")))
+    return D.learning_runs(valid_log(spark, sf_dir))
+
+
+RUNS = _ITER + f""",
+runs AS (SELECT {_rates_sql('OVER w')}, {_params_sql('count(*) OVER w')}
+         FROM valid WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 
 
-@register("a_run_pivot", _ITER + f"""
-SELECT 'Retraining_Iter_' || CAST(iteration + 1 AS VARCHAR) AS run_name,
-  {_formula_sql('iteration').replace('AS BIGINT) AS retrained', 'AS DOUBLE) AS retrained')}
-FROM it""")
+@register("a_run_pivot", RUNS + f"""
+SELECT run_name, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in _METRIC_KEYS)} FROM runs""")
 def q_pivot(spark, sf_dir):
     """Tracked runs: metrics long (one value per run and key) pivoted back to wide."""
-    long = D.run_log_long(_runs(spark, sf_dir), _METRIC_KEYS)
+    long = D.run_log_long(_runs(spark, sf_dir), _METRIC_KEYS).drop("kind")
     return round_doubles(D.run_log_wide(long, _METRIC_KEYS))

@@ -4,24 +4,29 @@ aggregates themselves are oracle-checked in q_rules (a_prf1, a_roc_auc, a_confus
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions import constants as K
-from shopfloor.operators import decisions as D
+from shopfloor.operators import cleaning
 from shopfloor.operators import features as FE
 from shopfloor.operators import learning as L
 from shopfloor.plans import q_decisions
-from shopfloor.plans.q_telemetry import featured
+from shopfloor.plans import sqltext as S
+from shopfloor.plans.q_telemetry import featured, keyed_telemetry
 from shopfloor.plans.registry import register, round_doubles
+from shopfloor.session import checkpoint_dir, materialize
 from shopfloor.sources import bindings as B
+from shopfloor.sources import files as FS
 
 FEATURES = FE.feature_names()
 ORDER = ["ts", "machine_id", "k1", "k2", "k3"]
 
 
 def split_frame(spark, sf_dir):
-    return L.with_label(FE.with_split(featured(spark, sf_dir), ORDER))
+    return L.with_label(FE.with_split(featured(spark, sf_dir), ORDER, keys=keyed_telemetry(spark, sf_dir)))
 
 
 def _model(spark, sf_dir, name):
@@ -29,7 +34,7 @@ def _model(spark, sf_dir, name):
     train = data.where(F.col("split") == "train")
     build = {"RandomForest": lambda: L.pipeline(FEATURES, L.forest()),
              "GradientBoosting": lambda: L.pipeline(FEATURES, L.boosting())}[name]
-    return L.fit_cached((sf_dir, name), build, train), data
+    return L.fit_cached(name, build, train), data
 
 
 def _scored(spark, sf_dir, name):
@@ -115,21 +120,24 @@ def q_top_driver(spark, sf_dir):
                                         F.col("importance") == F.max("importance").over(Window.partitionBy())))
 
 
-@register("m_importance_fallback")
+_CORR = ", ".join(f"coalesce(abs(CASE WHEN isnan(corr({c}, is_failure)) THEN 0 ELSE corr({c}, is_failure) END), 0) AS {c}"
+                  for c in FEATURES)
+
+
+@register("m_importance_fallback", S.with_ctes(S.FEATURES, f"""row AS (SELECT {_CORR} FROM features),
+t AS (SELECT *, {' + '.join(FEATURES)} AS total FROM row)
+""") + " UNION ALL ".join(f"SELECT '{c}' AS feature, round({c} / total, 6) AS importance FROM t" for c in FEATURES))
 def q_fallback(spark, sf_dir):
-    """Fixed weights for the first features of the data's feature list, normalised."""
-    names = [c for c in featured(spark, sf_dir).columns if c in FEATURES][:len(K.IMPORTANCE_FALLBACK)]
-    return round_doubles(L.fallback_importances(spark, names))
+    """Importances without a fitted model: normalised absolute correlation with the failure label."""
+    return round_doubles(L.fallback_importances(featured(spark, sf_dir), FEATURES, "is_failure"))
 
 
 def _sequence_metrics(spark, sf_dir):
-    key = (sf_dir, "sequence")
     data = split_frame(spark, sf_dir)
-    seq = FE.sequences(data, ["ts", "k1", "k2", "k3"], FEATURES + ["split"] if False else FEATURES, "label", 12)
-    split = data.select("machine_id", "ts", "k1", "k2", "k3", "split")
-    seq = L.sequence_vectors(seq.join(split, ["machine_id", "ts", "k1", "k2", "k3"]))
+    seq = L.sequence_vectors(FE.sequences(data, ["ts", "k1", "k2", "k3"], FEATURES, "label", 12, keep=["split"]))
     train = seq.where(F.col("split") == "train")
-    model = L.fit_cached(key, lambda: L.sequence_model(12 * len(FEATURES)), train)
+    model = L.fit_cached("SequenceMLP", lambda: L.sequence_model(12 * len(FEATURES)),
+                         train.select("machine_id", "ts", "k1", "k2", "k3", "raw", "label"))
     pred = L.scored(model, seq.where(F.col("split") == "val"), "SequenceMLP")
     return L.evaluate(pred, ["model", "split"])
 
@@ -159,7 +167,6 @@ def q_sink_model(spark, sf_dir):
     score with the loaded copy."""
     from pyspark.ml import PipelineModel
 
-    from shopfloor.session import checkpoint_dir
     model, data = _model(spark, sf_dir, "RandomForest")
     path = checkpoint_dir(spark, "model-rf")
     model.write().overwrite().save(path)
@@ -168,19 +175,32 @@ def q_sink_model(spark, sf_dir):
     return s.groupBy("model").agg(F.count(F.lit(1)).alias("n_scored"), F.sum("pred").alias("n_flagged"))
 
 
+def _retrain(spark, sf_dir):
+    """(params, metrics) of a forest refitted on the base readings plus the human-corrected events
+    (REJECT flips the AI flag), measured on corrected events it has not seen."""
+    feats = ["temperature", "vibration", "pressure"]
+    corrected = q_decisions.q_feedback_events(spark, sf_dir).select(
+        F.col("target_event_id").alias("event_id"), F.col("corrected_label").cast("double").alias("label"))
+    events = materialize(B.readings(spark, sf_dir).join(corrected, "event_id").select("event_id", *feats, "label"), "corrected")
+    unseen = F.floor(F.col("event_id") / 10) % 5 == 0
+    base = cleaning.impute_and_cap(keyed_telemetry(spark, sf_dir)).select(*feats, F.col("is_failure").cast("double").alias("label"))
+    n = events.count()
+    train = base.unionByName(events.where(~unseen).select(*feats, "label"))
+    model = L.fit_cached("Retrained", lambda: L.pipeline(feats, L.forest()), train)
+    test = events.where(unseen).withColumn("split", F.lit("test"))
+    ev = L.evaluate(L.scored(model, test, "Retrained"), ["model", "split"])
+    return {"learning_rate": K.RETRAIN_LEARNING_RATE, "n_estimators": 100, "feedback_batch_size": n}, ev, n
+
+
 @register("m_retrain")
 def q_retrain(spark, sf_dir):
-    """Refit on human-corrected labels: every scored event with its latest valid decision's
-    corrected label (REJECT flips the AI flag), evaluated and logged as a run row."""
-    corrected = q_decisions.q_feedback_events(spark, sf_dir).select(
-        F.col("target_event_id").alias("event_id"), "corrected_label")
-    r = B.readings(spark, sf_dir).join(corrected, "event_id")
-    data = r.withColumn("label", F.col("corrected_label").cast("double")) \
-        .withColumn("split", F.when(F.floor(F.col("event_id") / 10) % 5 == 0, "test").otherwise("train"))
-    feats = ["temperature", "vibration", "pressure"]
-    model = L.fit_cached((sf_dir, "retrain"), lambda: L.pipeline(feats, L.forest()),
-                         data.where(F.col("split") == "train"))
-    ev = L.evaluate(L.scored(model, data.where(F.col("split") == "test"), "Retrained"), ["model", "split"])
-    n = data.count()
-    return ev.select(F.lit(f"Retraining_Iter_{n + 1}").alias("run_name"), F.lit(n).alias("feedback_batch_size"),
-                     "precision", "recall", "f1", "roc_auc")
+    """The refit, logged as a tracked run (params and measured metrics) and read back from its files."""
+    params, ev, n = _retrain(spark, sf_dir)
+    run, names = f"Retraining_Iter_{n + 1}", ["precision", "recall", "f1", "roc_auc"]
+    metrics = ev.select(F.explode(F.array(*[F.struct(F.lit("metrics").alias("kind"), F.lit(m).alias("key"), F.col(m).cast("string")
+                                                     .alias("value")) for m in names])).alias("x")).select("x.*")
+    long = metrics.unionByName(spark.createDataFrame([("params", k, str(v)) for k, v in params.items()],
+                                                     "kind string, key string, value string"))
+    path = checkpoint_dir(spark, "retrain-run")
+    FS.write_run_files(long.where("value is not null").withColumn("run_name", F.lit(run)), path, int(time.time() * 1000))
+    return FS.read_run_files(spark, path).select("run_name", "kind", "key", "value")

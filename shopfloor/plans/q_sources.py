@@ -8,7 +8,6 @@ import time
 
 from pyspark.sql import functions as F
 
-from shopfloor.functions import constants as K
 from shopfloor.operators import decisions as D
 from shopfloor.operators import imaging as I
 from shopfloor.plans import q_decisions
@@ -168,21 +167,27 @@ def q_image_label(spark, sf_dir):
     return _image_files(spark, sf_dir).groupBy("label_dir").agg(F.count(F.lit(1)).alias("n_images"))
 
 
-_RUNS_SQL = q_decisions._ITER + f"""
-SELECT 'Retraining_Iter_' || CAST(iteration + 1 AS VARCHAR) AS run_name, k.key,
-  CASE k.key {' '.join(f"WHEN '{m}' THEN round({b} + least({c}, iteration * {s}), 4)" for m, b, c, s in K.RETRAIN_METRICS)}
-       ELSE CAST(2500 + iteration * 10 AS DOUBLE) END AS value, CAST(0 AS BIGINT) AS step
-FROM it, (VALUES {', '.join(f"('{m}')" for m in [x[0] for x in K.RETRAIN_METRICS] + ['retrained_sample_size'])}) k(key)"""
+_RUNS_SQL = q_decisions.RUNS + " " + " UNION ALL ".join(
+    f"SELECT run_name, '{kind}' AS kind, '{k}' AS key, CAST({k} AS DOUBLE) AS value FROM runs"
+    for kind, names in (("metrics", q_decisions._METRIC_KEYS), ("params", q_decisions._PARAM_KEYS)) for k in names)
 
 
-@register("sink_run_log", _RUNS_SQL)
-def q_run_log(spark, sf_dir):
-    """Params/metrics of every retraining run written one file per (run, metric) with
-    'epoch_ms value step' lines, read back as a long table."""
+def _run_log(spark, sf_dir):
     path = checkpoint_dir(spark, "runs")
-    long = D.run_log_long(q_decisions._runs(spark, sf_dir), q_decisions._METRIC_KEYS)
+    long = D.run_log_long(q_decisions._runs(spark, sf_dir), q_decisions._METRIC_KEYS, q_decisions._PARAM_KEYS)
     FS.write_run_files(long, path, int(time.time() * 1000))
-    return FS.read_run_files(spark, path).select("run_name", "key", "value", "step")
+    return path
+
+
+@register("sink_run_log", _RUNS_SQL)
+def q_run_log(spark, sf_dir):
+    """Params and measured metrics of every learning run written as run files, read back as a long table."""
+    return FS.read_run_files(spark, _run_log(spark, sf_dir)).select("run_name", "kind", "key", "value")
 
 
-register("src_run_files", _RUNS_SQL)(q_run_log)
+@register("src_run_files", q_decisions.RUNS + f"""
+SELECT run_name, CAST(0 AS BIGINT) AS step, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in q_decisions._METRIC_KEYS)} FROM runs""")
+def q_run_files(spark, sf_dir):
+    """The metric files of all runs, one row per run."""
+    m = FS.read_run_files(spark, _run_log(spark, sf_dir)).where("kind = 'metrics'")
+    return m.groupBy("run_name", "step").pivot("key", q_decisions._METRIC_KEYS).agg(F.first("value"))

@@ -25,6 +25,11 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engineer_features(B.telemetry(spark, sf_dir), ORDER)
 
 
+def keyed_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that become feature rows (a machine is known), before any statistics."""
+    return B.telemetry(spark, sf_dir).where(F.col("machine_id").isNotNull())
+
+
 def latest_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current risk of every machine from cleaned data: the last reading of each
     machine (max_by over the order key: a partial aggregate, no full sort)."""
@@ -184,9 +189,8 @@ SELECT machine_id, k1, k2, k3,
        ELSE 'test' END AS split
 FROM features, n"""))
 def q_global_index(spark, sf_dir):
-    f = featured(spark, sf_dir)
-    return features.with_split(f, ["ts", "machine_id", "k1", "k2", "k3"]) \
-        .select("machine_id", "k1", "k2", "k3", "row_index", "split")
+    pos, ends = features.split_positions(keyed_telemetry(spark, sf_dir), ["ts", "machine_id", "k1", "k2", "k3"])
+    return pos.select("machine_id", "k1", "k2", "k3", "row_index", features.split_name("row_index", ends).alias("split"))
 
 
 @register("t_split_slice", S.with_ctes(S.FEATURES, f"""n AS (SELECT count(*) AS n FROM features),
@@ -197,7 +201,7 @@ SELECT CASE WHEN ri < floor(n * {_TRAIN_END!r}) THEN 'train' WHEN ri < floor(n *
        min(ts) AS first_ts, max(ts) AS last_ts
 FROM idx GROUP BY 1"""))
 def q_split_slice(spark, sf_dir):
-    s = features.with_split(featured(spark, sf_dir), ["ts", "machine_id", "k1", "k2", "k3"])
+    s = features.with_split(keyed_telemetry(spark, sf_dir), ["ts", "machine_id", "k1", "k2", "k3"])
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.sum("is_failure").cast("long").alias("n_failures"),
                                   F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -207,7 +211,7 @@ def q_split_slice(spark, sf_dir):
 SELECT count(*) AS n, CAST(floor(count(*) * {_TRAIN_END!r}) AS BIGINT) AS train_end,
        CAST(floor(count(*) * {_VAL_END!r}) AS BIGINT) AS val_end FROM features"""))
 def q_row_count(spark, sf_dir):
-    f = featured(spark, sf_dir)
+    f = keyed_telemetry(spark, sf_dir)
     n = F.count(F.lit(1))
     return f.agg(n.alias("n"), F.floor(n * _TRAIN_END).cast("long").alias("train_end"),
                  F.floor(n * _VAL_END).cast("long").alias("val_end"))
@@ -272,7 +276,8 @@ def q_histogram(spark, sf_dir):
     f = featured(spark, sf_dir)
     mm = f.agg(F.min("vibration").alias("lo"), F.max("vibration").alias("hi")).first()
     lo, hi = F.lit(mm["lo"]), F.lit(mm["hi"])
-    b = F.least(F.lit(25), F.floor((F.col("vibration") - lo) / (hi - lo) * 25).cast("int") + 1)
+    share = F.coalesce((F.col("vibration") - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0))  # one value: one bin
+    b = F.least(F.lit(25), F.floor(share * 25).cast("int") + 1)
     out = f.select(b.alias("bin"), lo.alias("lo"), hi.alias("hi")).groupBy("bin", "lo", "hi") \
         .agg(F.count(F.lit(1)).alias("n"))
     return round_doubles(out.select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") - 1) / 25)

@@ -69,13 +69,15 @@ def test_decision_matrix(spark, p, sev, rec, prio):
     assert (r.final_recommendation, r.priority) == (rec, prio)
 
 
-@pytest.mark.parametrize("n,expected", [
-    (1, (0.93, 0.905, 0.917, 0.953, 2510)), (3, (0.95, 0.935, 0.941, 0.969, 2530))])
-def test_retrain_formula(spark, n, expected):
-    df = spark.createDataFrame([(n,)], "n long")
-    r = df.select(*D.retrain_metrics(F.col("n"))).first()
-    assert tuple(r) == expected
-    assert df.select(*D.retrain_params(F.col("n"))).first().n_estimators == 120 + 5 * n
+def test_learning_runs_measure_the_log(spark):
+    import datetime
+    kinds = ["APPROVE", "REJECT", "APPROVE", "MODIFY"]
+    log = spark.createDataFrame([(datetime.datetime(2026, 1, 1, i), i, k) for i, k in enumerate(kinds)],
+                                "ts timestamp, event_id long, decision_type string")
+    got = {r.feedback_rows: r for r in D.learning_runs(log).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert (got[3].approve_rate, got[3].reject_rate, got[3].modify_rate, got[3].run_name) == (0.6667, 0.3333, 0.0, "Retraining_Iter_4")
+    assert (got[4].n_estimators, got[4].feedback_batch_size) == (140, 4)
 
 
 def test_explanation_sentence(spark):
