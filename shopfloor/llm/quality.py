@@ -2,7 +2,10 @@
 
 One weight vector over hashed text features is shared by all grades; ordered thresholds
 th_1 < ... < th_{K-1} cut its score s: P(grade <= k) = sigmoid(th_k - s). This gives every
-document an expected grade and a tail probability P(grade >= k), which selection uses.
+document an expected grade and a tail probability P(grade >= k), which selection uses: a
+document is kept when its probability of the best grade reaches a cut. The cut is found on
+rated documents held back from a first fit, as the highest that keeps ``KEEP_SHARE`` of
+those of the best grade; the final fit then uses all of them.
 
 Features: lower-cased words without ASCII punctuation and their 4- and 5-byte beginnings,
 hashed by CRC-32 (dampened counts, unit length); the byte distribution (square roots); length,
@@ -37,7 +40,10 @@ SIZE = HASHED + 256 + 3
 TRAIN_DOCS = 16_384
 EPOCHS = 8
 RATE = 0.7
-MIN_TAIL = 0.75
+KEEP_SHARE = 0.995
+DENSE_SCALE = 3.0
+HOLD_BACK = 5
+MAX_CUT = 0.95
 PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 SLICE = 1 << 20
 
@@ -64,7 +70,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     spread = np.sqrt(np.bincount(np.frombuffer(text, np.uint8), minlength=256) / max(1, len(text)))
     extra = [np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), 1.0]
     index = np.concatenate((index.astype(np.int32), np.arange(HASHED, SIZE, dtype=np.int32)))
-    value = np.concatenate((value, spread, extra)).astype(np.float32)
+    value = np.concatenate((value, DENSE_SCALE * spread, DENSE_SCALE * np.array(extra))).astype(np.float32)
     return index[value != 0], value[value != 0]
 
 
@@ -72,6 +78,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 class CumulativeLink:
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def at_most(self, score: np.ndarray) -> np.ndarray:
         """P(grade <= k) for k = 0 .. K-2, one row per score."""
@@ -112,6 +119,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int
     return CumulativeLink(w, th)
 
 
+def fit_with_cut(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, epochs: int = EPOCHS,
+                 keep: float = KEEP_SHARE) -> CumulativeLink:
+    """Fit on all rows; the cut comes from every ``HOLD_BACK``-th, unseen by a first fit."""
+    back = [r for r in rows[::HOLD_BACK] if r[2] == grades - 1]
+    rest = [r for k, r in enumerate(rows) if k % HOLD_BACK]
+    model = fit(rows, grades, epochs)
+    if back and rest:
+        first = fit(rest, grades, epochs)
+        tail = 1 - first.at_most(np.array([float(first.weights[i] @ v) for i, v, _ in back]))[:, -1]
+        model.cut = float(np.clip(np.quantile(tail, 1 - keep, method="lower"), 0.05, MAX_CUT))
+    return model
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for a in range(0, b.num_rows, 256):
@@ -130,9 +150,9 @@ def _fit_task(grades: int, epochs: int):
                 rows.append((o.as_py(), g.as_py(), i.values.to_numpy(), v.values.to_numpy()))
         if rows:
             rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
-            m = fit([(i, v, g) for _, g, i, v in rows], grades, epochs)
-            yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]),
-                                              pa.array([m.thresholds.astype("<f8").tobytes()])], names=["w", "th"])
+            m = fit_with_cut([(i, v, g) for _, g, i, v in rows], grades, epochs)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array(
+                [m.thresholds.astype("<f8").tobytes()]), pa.array([m.cut])], names=["w", "th", "cut"])
     return run
 
 
@@ -148,8 +168,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most max_train rows
     made = joined.select("_order", "_grade", "_text").mapInArrow(
         _featurize, "order bigint, grade int, index array<int>, value array<float>")
-    row = made.repartition(1).mapInArrow(_fit_task(grades, epochs), "w binary, th binary").first()
-    return row and CumulativeLink(np.frombuffer(row["w"], "<f4"), np.frombuffer(row["th"], "<f8"))
+    row = made.repartition(1).mapInArrow(_fit_task(grades, epochs), "w binary, th binary, cut double").first()
+    return row and CumulativeLink(np.frombuffer(row["w"], "<f4"), np.frombuffer(row["th"], "<f8"), row["cut"])
 
 
 def scorer(spark, model: CumulativeLink):
@@ -170,7 +190,7 @@ def scorer(spark, model: CumulativeLink):
 
 
 def rate_documents(docs: DataFrame, model: CumulativeLink | None, id_col: str = "doc_id", text_col: str = "text",
-                   min_tail: float = MIN_TAIL) -> DataFrame:
+                   min_tail: float | None = None) -> DataFrame:
     """One row per input row: ``id_col``, expected_grade, tail_probability, kept."""
     if model is None:
         none = F.lit(None).cast("double")
@@ -178,14 +198,16 @@ def rate_documents(docs: DataFrame, model: CumulativeLink | None, id_col: str =
                            F.lit(True).alias("kept"))
     rated = docs.select(F.col(id_col).alias("id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("r"))
     return rated.select(F.col("id").alias(id_col), F.round("r.expected_grade", 6).alias("expected_grade"),
-                        F.round("r.tail", 6).alias("tail_probability"), (F.col("r.tail") >= min_tail).alias("kept"))
+                        F.round("r.tail", 6).alias("tail_probability"), (F.col("r.tail") >= (model.cut if min_tail is None else min_tail)).alias("kept"))
 
 
 def select_quality(docs: DataFrame, model: CumulativeLink | None, text_col: str = "text",
-                   min_tail: float = MIN_TAIL) -> DataFrame:
-    """The rows whose probability of the best grade is at least ``min_tail``, all columns kept."""
+                   min_tail: float | None = None) -> DataFrame:
+    """The rows whose probability of the best grade is at least ``min_tail`` (default: the
+    model's cut), all columns kept."""
     if model is None:
         return docs
+    min_tail = model.cut if min_tail is None else min_tail
     return docs.where(scorer(docs.sparkSession, model)(F.col(text_col))["tail"] >= min_tail)
 
 

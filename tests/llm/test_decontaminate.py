@@ -15,15 +15,16 @@ def words(t):
 
 
 def brute(text, items, n=13):
-    ws, hit, found = words(text), set(), set()
+    ws, hit, found, windows = words(text), set(), set(), {}
     for item, body in items:
         iw = words(body)
         for a in range(max(1, len(iw) - n + 1) if iw else 0):
-            w = iw[a:a + n]
-            for p in range(len(ws) - len(w) + 1):
-                if ws[p:p + len(w)] == w:
-                    hit.update(range(p, p + len(w)))
-                    found.add(str(item))
+            windows.setdefault(tuple(iw[a:a + n]), set()).add(str(item))
+    for size in {len(w) for w in windows}:
+        for p in range(len(ws) - size + 1):
+            if (w := tuple(ws[p:p + size])) in windows:
+                hit.update(range(p, p + size))
+                found |= windows[w]
     names = ",".join(sorted(found))
     return len(ws), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)
 
