@@ -26,6 +26,7 @@ table writes no segments and gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import unicodedata
@@ -44,9 +45,9 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHED_LENGTH = 64
-TRAILING = ',.;:!?*#$%&|"()'
+LETTERS_MARKS = re.compile(r"""^(([^\W\d_]+)([,.;:!?*#$%&|"()]*))$""", re.MULTILINE)
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -145,23 +146,19 @@ class Encoder:
     def _learn(self, pieces: Iterable[str]) -> None:
         """Add the ids of unknown pieces. letters + marks is taken apart, since the tokenizer
         always breaks there; letters alone are encoded in one string per thousand."""
-        known, apart, letters, other = self.known, {}, set(), set()
-        for p in pieces:
-            core = p.rstrip(TRAILING)
-            low = core.lower()
-            if core and low.isalpha() and len(low) == len(core) and (
-                    low.isascii() or unicodedata.is_normalized("NFC", core)) and len(core) <= CACHED_LENGTH:
-                apart[p] = (low, p[len(core):])
-                if low not in known:
-                    letters.add(low)
-                if p[len(core):] not in known:
-                    other.add(p[len(core):])
-            else:
-                other.add(p)
+        known, pieces = self.known, set(pieces)
+        lines = "\n".join(pieces)
+        plain = unicodedata.is_normalized("NFC", lines)
+        apart = [(p, low, marks) for p, core, marks in LETTERS_MARKS.findall(lines)
+                 if (low := core.lower()).isalpha() and len(low) == len(core) and len(core) <= CACHED_LENGTH
+                 and (plain or unicodedata.is_normalized("NFC", core))]
+        other = pieces.difference([p for p, _, _ in apart])
+        other.update({marks for _, _, marks in apart}.difference(known))
+        letters = {low for _, low, _ in apart}.difference(known)
         words = sorted(letters)
         for a in range(0, len(words), 1000):
             some = words[a:a + 1000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
                 known.update(zip(some, self._plain(some)))
@@ -172,8 +169,7 @@ class Encoder:
                 last = c
         rest = sorted(other)
         known.update(zip(rest, self._plain(rest)))
-        for p, (low, marks) in apart.items():
-            known[p] = known[low] + known[marks]
+        known.update([(p, known[low] + known[marks]) for p, low, marks in apart])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text, without end ids."""
