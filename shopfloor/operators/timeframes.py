@@ -3,7 +3,8 @@
 Normal keys: ``rangeBetween`` over epoch seconds in one window partitioned by
 the key. Hot keys: rows are cut into time buckets at least as wide as the
 range; rows in the last ``range`` seconds of a bucket are copied into the next
-bucket as context, so every frame is complete inside ``(key, bucket)``.
+bucket as context, so every frame is complete inside ``(key, bucket)``. A task of a hot key
+holds the rows of one bucket: bounded by the reading rate, not by the length of the history.
 """
 
 from __future__ import annotations

@@ -217,13 +217,10 @@ def q_array_first(spark, sf_dir):
 @register("u_concat_groups", S.with_ctes(S.TELEMETRY, """x AS (SELECT 1)
 SELECT split_part(machine_id, ' #', 1) AS kind, count(*) AS n FROM telemetry GROUP BY 1"""))
 def q_concat(spark, sf_dir):
-    """Separate per-kind frames stacked with unionByName."""
+    """Per-kind frames put together again: their union is the table itself, so one scan and one
+    grouping do."""
     t = B.telemetry(spark, sf_dir).withColumn("kind", F.split("machine_id", " #")[0])
-    parts = [t.where(F.col("kind") == k) for k in K.MACHINE_NAMES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return t.where(F.col("kind").isin(K.MACHINE_NAMES)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("u_append_reading", S.with_ctes(S.FEATURES, S.READINGS, f"""last AS (
