@@ -70,7 +70,10 @@ def window_hits(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
         ).otherwise(F.slice(sentinel, 1, 0))
 
     scan = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
-                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), words(F.col(text_col)).alias("ws"))
+                       F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    if blocks > 1:  # every block must see the same row numbers
+        scan = materialize(scan, "numbered-texts")
+    scan = scan.select("id", "row", F.xxhash64("t").alias("h"), words(F.col("t")).alias("ws"))
     scan = scan.select("id", "row", "h", "ws", F.inline(F.concat(sentinel, *[keys(p) for p in sorted(stats["ps"])])))
     out = []
     for b in range(blocks):

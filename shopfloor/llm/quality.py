@@ -162,7 +162,11 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the ``max_train`` rated documents with the smallest id hash."""
     rated = ratings.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_grade")) \
         .where(F.col("_id").isNotNull() & F.col("_grade").between(0, grades - 1)) \
-        .withColumn("_order", F.xxhash64("_id"))
+        .distinct().withColumn("_order", F.xxhash64("_id"))
+    n = rated.count()
+    if n > 3 * max_train:  # the smallest hashes lie far below this; fewer rows meet in the last sort
+        few = rated.where(F.col("_order") < int(-2**63 + 2**64 * 3 * max_train / n))
+        rated = few if few.count() >= max_train else rated
     sample = rated.orderBy("_order", "_id", "_grade").limit(max_train)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most max_train rows
