@@ -21,7 +21,6 @@ columns are not read.
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,6 @@ EPOCHS = 4
 RATE = 0.5
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 SLICE = 1 << 20
 
 
@@ -88,7 +86,7 @@ class Ecoc:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score 0..1, ambiguous)."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         loss = self.losses(*features(text))
         p = np.exp(loss.min() - loss)

@@ -60,13 +60,15 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> Dat
     return ranked.withColumn("target", F.least(ceiling, F.lit(share) * F.col("weight")))
 
 
-def tilt(hist: DataFrame, sources: DataFrame, cap: float = 3.0, tolerance: float = 1e-9,
+def tilt(hist: DataFrame, sources: DataFrame, cap: float = 3.0, tolerance: float = 1e-7,
          max_iterations: int = 60) -> DataFrame:
-    """(sid, lam): the dual multipliers. hist: (sid, size, n). Sources without words, or
-    whose target is at its ceiling, need no iteration."""
+    """(sid, lam, mean): the dual multipliers. hist: (sid, size, n). Sources without words, or
+    whose target is at its ceiling, need no iteration. The start is the multiplier that would be
+    right if every document had the token-weighted mean size."""
     log_cap = math.log(cap)
     state = sources.where((F.col("total") > 0) & (F.col("target") < cap * F.col("total"))).select(
-        "sid", "target", (F.col("total") / F.col("docs")).alias("mean"), F.lit(0.0).alias("lam"),
+        "sid", "target", (F.col("total") / F.col("docs")).alias("mean"),
+        (F.log(F.col("target") / F.col("total")) * F.col("total") / F.col("docs") * F.col("total") / F.col("square")).alias("lam"),
         (-F.col("total") / (F.lit(math.e) * F.col("target"))).alias("lo"),
         (F.lit(log_cap) * F.col("total") / F.col("docs") / F.col("smallest")).alias("hi"),
         F.lit(False).alias("done"))
@@ -139,6 +141,7 @@ def document_copies(df: DataFrame, id_col: str, text_col: str, source_col: str,
     by_size = materialize(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     per_source = by_size.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"),
+        F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("square"),
         F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"))
     sources = materialize(source_targets(per_source, weights, cap), "mix-targets")
     hist = materialize(by_size.join(sources.select("source", "sid").withColumnRenamed("source", "_s"),
