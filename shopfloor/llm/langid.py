@@ -169,9 +169,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_order"))
     # the smallest hashes of a language lie far below 3 per_language / n; only those are ranked
+    # (counts has one row per language, as many as the sample has groups)
     counts = known.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_c"))
     share = F.col("_order").cast("double") / 2.0**64 + 0.5
-    known = known.join(counts, F.col("_lang") == F.col("_l")).where(share * F.col("_c") <= 3 * per_language) \
+    known = known.join(F.broadcast(counts), F.col("_lang") == F.col("_l")).where(share * F.col("_c") <= 3 * per_language) \
         .select("_id", "_lang", "_order")
     w = Window.partitionBy("_lang").orderBy("_order", "_id")
     sample = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language) \

@@ -1,6 +1,4 @@
-import os
 import random
-import re
 import zlib
 
 import numpy as np
