@@ -18,7 +18,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.functions import constants as K
 from shopfloor.operators import evaluation as EV
 
 _MODELS: dict = {}
