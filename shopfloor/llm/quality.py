@@ -40,10 +40,10 @@ SIZE = HASHED + 256 + 3
 TRAIN_DOCS = 16_384
 EPOCHS = 8
 RATE = 0.7
-KEEP_SHARE = 0.995
+KEEP_SHARE = 0.99
 DENSE_SCALE = 3.0
 HOLD_BACK = 5
-MAX_CUT = 0.95
+MAX_CUT = 0.96
 PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 SLICE = 1 << 20
 
