@@ -1,15 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are the units of a text (lines, cut further at sentence ends) that hold a cue
-word; neighbouring candidates form one block. Every block is compressed alone and with every
-template as a raw zstandard dictionary: the size saved is what the template explains. Templates
-are ranked by relative saving, and the ranking is confirmed by the exact wording: the words of
-the template that the block lacks and the words it has instead. The first template in rank order
-whose wording differs little enough, and whose version numbers all occur, is the finding.
-
-The cue words occur in every template (tested), so the cut drops nothing a template could confirm.
-Blocks end after ``BLOCK_UNITS`` units, so a text that is one long license costs bounded work
-per block. Everything is one map-only pass.
+Cue words locate the places: the words around a cue, ``1 + SPREAD`` times the longest template on both sides,
+are a region, and regions that touch are one. Every template is aligned with the words of a region
+by an exact dynamic program (template words may be missing, other words may be added), so line
+breaks, comment marks and sentences around a notice do not matter. An alignment that lacks few enough
+words, none of them with a digit, is compressed alone and with the template as a raw zstandard
+dictionary, with the lines it stands in: the size saved is what the template explains. Where alignments overlap, the template
+that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words).
+
+Words added to a notice are at most ``SPREAD`` times its own; templates of fewer than ``SHORT``
+words hold no foreign sentence start, and no version number is read across another number.
+The cue words occur in every template, also when wrapped (tested). The cost is linear in the words of the
+regions. Everything is one map-only pass.
 
 Defined results: null and empty texts have no findings. Positions are code points, end
 exclusive. Rows that repeat an id are scanned one by one; an empty table gives an empty
@@ -21,21 +23,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.llm.license_templates import TEMPLATES
 
-CUES = r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public domain|\bCC[ 0]|Creative Commons|\bMPL\b"
-UNIT = re.compile(r"[^\n]+?(?:[.!?](?=\s+[A-Z\"'(])|(?=\n)|\Z)")
-WORD = re.compile(r"\w+(?:[.-]\w+)*")
-BLOCK_UNITS = 12
-SHORTLIST = 4
+CUES = (r"(?i)licen[sc]e|copyright|permi(?:ssion|tted)|redistribut|public\W+(?:\w{1,3}\W+)?domain|\bCC[ 0]|"
+        r"Creative Commons|\bMPL\b")
+WORD = re.compile(r"\w+(?:(?:\.|-(?:[ \t]*\n\W*(?:(?i:dnl|rem)\W+)?)?)\w+)*")
+WRAP = re.compile(r"\s*\n\W*(?:(?i:dnl|rem)\W+)?")
+SENTENCE = re.compile(r"[.!?]\W*\s|\n\s*\n")
+SPREAD = 3
+SHORT = 20
+LACKS = 4
 MIN_SAVING = 0.25
 MAX_MISSING = 0.1
+NEVER = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -49,66 +55,146 @@ class Finding:
     wording: str
 
 
+def words_of(text: str) -> list[str]:
+    return [WRAP.sub("", m) for m in WORD.findall(text.lower())]
+
+
+class Template:
+    def __init__(self, name: str, text: str, vocabulary: dict[str, int]):
+        import zstandard as zs
+
+        d = zs.ZstdCompressionDict(text.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
+        self.name, self.words, self.tail = name, words_of(text), re.search(r"\W*\Z", text).group()
+        self.press = zs.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False,
+                                       write_dict_id=False)
+        self.ids = [vocabulary.setdefault(w, len(vocabulary)) for w in self.words]
+        self.allowed = int(MAX_MISSING * len(self.words))
+        self.fixed = [any(ch.isdigit() for ch in w) for w in self.words]
+
+    def possible(self, present: set[int]) -> bool:
+        """Whether enough of the words occur at all."""
+        lacks = [f for i, f in zip(self.ids, self.fixed) if i not in present]
+        return len(lacks) <= self.allowed and not any(lacks)
+
+    def align(self, ids: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(differences, lacking, start, end) of the best alignment at every end word that has one, in words.
+        cost[m, j]: least number of added words of an alignment that ends before word j and lacks m words."""
+        n, size = len(self.words), len(ids)
+        free = np.arange(size + 1)
+        bound = np.concatenate(([0], np.cumsum(np.where(breaks, NEVER, 1))))
+        cost = np.full((self.allowed + 1, size + 1), NEVER)
+        cost[0] = 0
+        for i, (w, fixed) in enumerate(zip(self.ids, self.fixed)):
+            after = np.full_like(cost, NEVER)
+            hit = np.flatnonzero(ids == w)
+            after[:, hit + 1] = cost[:, hit]
+            if not fixed:
+                np.minimum(after[1:], cost[:-1], out=after[1:])
+            if i + 1 < n:
+                run = bound if n < SHORT or self.words[i + 1][0].isdigit() else free
+                after = run + np.minimum.accumulate(after - run, axis=1)
+            cost = after
+        total = cost + LACKS * np.arange(self.allowed + 1)[:, None]
+        m = total.argmin(axis=0)
+        least = total.min(axis=0)
+        good = least - LACKS * m <= SPREAD * n
+        good[1:] &= least[1:] <= least[:-1]  # else it only adds a word behind a shorter one
+        return [(int(least[j]), int(m[j]), int(j - (n - m[j]) - (least[j] - LACKS * m[j])), int(j))
+                for j in np.flatnonzero(good)]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         import zstandard as zs
 
         self.plain = zs.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.templates = []
-        for name, text in templates:
-            d = zs.ZstdCompressionDict(text.encode(), dict_type=zs.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, WORD.findall(text.lower()), zs.ZstdCompressor(
-                level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        self.vocabulary: dict[str, int] = {}
+        self.templates = [Template(name, text, self.vocabulary) for name, text in templates]
+        self.reach = (1 + SPREAD) * max(len(t.words) for t in self.templates)
         self.cue = re.compile(CUES)
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """(start, end) of the candidate blocks."""
-        start = end = None
-        units, last = 0, -2
-        for n, m in enumerate(UNIT.finditer(text)):
-            if not self.cue.search(m.group()):
-                continue
-            if start is not None and (n != last + 1 or units == BLOCK_UNITS):
-                yield start, end
-                start = None
-            if start is None:
-                start, units = m.start(), 0
-            end, last, units = m.end(), n, units + 1
-        if start is not None:
-            yield start, end
+    def regions(self, text: str) -> Iterator[list[re.Match]]:
+        """The words around the cues."""
+        cues = [m.span() for m in self.cue.finditer(text)]
+        if not cues:
+            return
+        words = list(WORD.finditer(text))
+        starts = np.array([m.start() for m in words])
+        first = np.searchsorted(starts, [a for a, _ in cues], "right") - 1 - self.reach
+        last = np.searchsorted(starts, [b for _, b in cues]) + self.reach
+        a, b = max(0, int(first[0])), int(last[0])
+        for x, y in zip(first.tolist(), last.tolist()):
+            if x > b:
+                yield words[a:b]
+                a = x
+            b = y
+        yield words[a:b]
 
     def scan(self, text: str | None) -> list[Finding]:
         out = []
-        for start, end in self.blocks(text or ""):
-            block = text[start:end]
-            data = block.encode()
-            alone = len(self.plain.compress(data))
-            ranked = sorted(((1 - len(c.compress(data)) / alone, -i) for i, (_, _, c) in enumerate(self.templates)),
-                            reverse=True)
-            words = WORD.findall(block.lower())
-            for saving, i in ranked[:SHORTLIST]:
-                name, wanted, _ = self.templates[-i]
-                if saving < MIN_SAVING:
-                    break
-                missing, added, wording = differences(wanted, words)
-                if len(missing) <= MAX_MISSING * len(wanted) and not any(ch.isdigit() for w in missing for ch in w):
-                    out.append(Finding(start, end, name, round(saving, 4), len(missing), len(added), wording))
-                    break
+        for words in self.regions(text or ""):
+            plain = [WRAP.sub("", m.group()).lower() for m in words]
+            ids = np.array([self.vocabulary.get(w, -1) for w in plain])
+            breaks = np.array([w[0].isdigit() for w in plain])
+            for k in range(1, len(words)):
+                gap = text[words[k - 1].end():words[k].start()]
+                if len(gap) > 1 and SENTENCE.search(gap) and (words[k].group()[0].isupper() or "\n" in gap):
+                    breaks[k] = True
+            for t, start, end, lo, hi, saving in self._confirmed(text, words, ids, breaks, 0, len(words)):
+                missing, added, wording = differences(t.words, plain[start:end])
+                out.append(Finding(lo, hi, t.name, round(saving, 4), len(missing), len(added), wording))
         return out
 
+    def _confirmed(self, text, words, ids, breaks, a: int, b: int) -> list[tuple]:
+        """(template, first word, end word, start, end, saving) of notices among words a to b that do
+        not overlap, in text order."""
+        found = []
+        present = set(ids[a:b].tolist())
+        for no, t in enumerate(self.templates):
+            if not t.possible(present):
+                continue
+            used = np.zeros(b - a, bool)
+            for differ, lacks, s, e in sorted(t.align(ids[a:b], breaks[a:b]), key=lambda x: (x[0], x[3] - x[2], x[2])):
+                if used[s:e].any():
+                    continue
+                lo, hi = words[a + s].start(), words[a + e - 1].end()
+                hi += len(t.tail) if text.startswith(t.tail, hi) else 0
+                line = text.rfind("\n", 0, lo) + 1, text.find("\n", hi) % (len(text) + 1)
+                data = WRAP.sub(" ", text[slice(*line)]).encode()
+                alone, given = len(self.plain.compress(data)), len(t.press.compress(data))
+                if 1 - given / alone >= MIN_SAVING:
+                    used[s:e] = True
+                    found.append((given - alone + LACKS * lacks, differ, no, a + s, a + e, lo, hi, 1 - given / alone))
+        used, taken = np.zeros(b - a, bool), []
+        for _, _, no, s, e, lo, hi, saving in sorted(found):
+            if not used[s - a:e - a].any():
+                used[s - a:e - a] = True
+                taken.append((self.templates[no], s, e, lo, hi, saving))
+        return sorted(taken, key=lambda x: x[1])
+
 
 def differences(wanted: list[str], words: list[str]) -> tuple[list[str], list[str], str]:
     """(template words the block lacks, words it has instead, both as text) of the best
     alignment; words before and after the notice are not differences."""
-    ops = SequenceMatcher(None, wanted, words, autojunk=False).get_opcodes()
-    missing, added, wording = [], [], []
-    for n, (tag, i1, i2, j1, j2) in enumerate(ops):
-        if tag == "equal":
-            continue
-        missing += wanted[i1:i2]
-        inside = n not in (0, len(ops) - 1)
-        added += words[j1:j2] if inside else []
-        wording += [f"-{w}" for w in wanted[i1:i2]] + ([f"+{w}" for w in words[j1:j2]] if inside else [])
+    if wanted == words:
+        return [], [], ""
+    best = [[0] * (len(words) + 1) for _ in range(len(wanted) + 1)]  # most words in common from (i, j) on
+    for i in range(len(wanted) - 1, -1, -1):
+        for j in range(len(words) - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if wanted[i] == words[j] else max(best[i + 1][j], best[i][j + 1])
+    missing, added, wording, i, j, met = [], [], [], 0, 0, False
+    while i < len(wanted):
+        if j < len(words) and wanted[i] == words[j]:
+            i, j, met = i + 1, j + 1, True
+        elif j < len(words) and best[i][j + 1] == best[i][j] and best[i][j]:
+            if met:
+                added.append(words[j])
+                wording.append(f"+{words[j]}")
+            j += 1
+        else:
+            missing.append(wanted[i])
+            wording.append(f"-{wanted[i]}")
+            i += 1
     return missing, added, " ".join(wording)
 
 

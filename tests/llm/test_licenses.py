@@ -1,5 +1,7 @@
 import re
+import textwrap
 
+import pytest
 from helpers import awkward, empty
 
 from shopfloor.llm.license_templates import TEMPLATES
@@ -41,3 +43,19 @@ def test_positions_and_awkward_rows(spark):
     x = next(r for r in got if r.license == "MIT")
     assert "日本 \U0001f600\nReleased under the MIT License.\nend"[x.start:x.end] == "Released under the MIT License."
     assert scan_licenses(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "dnl "])
+def test_wrapped_notices(prefix):
+    s = Scanner()
+    for name, text in TEMPLATES:
+        for width in (32, 50, 72):
+            notice = textwrap.fill(text, width, initial_indent=prefix, subsequent_indent=prefix, break_long_words=False)
+            found = s.scan(f"int a = 1;\n{notice}\nint b = 2;")
+            assert [(f.license, f.missing) for f in found] == [(name, 0)], notice
+
+
+def test_nothing_is_read_across_numbers_and_sentences():
+    s = Scanner()
+    assert s.scan("This work is licensed under the GNU General Public License, version 7. Chapter 2 is here.") == []
+    assert s.scan("The album was released under the label in 1999. The MIT students got a license.") == []
