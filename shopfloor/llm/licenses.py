@@ -5,7 +5,7 @@ are a region, and regions that touch are one. Every template is aligned with the
 by an exact dynamic program (template words may be missing, other words may be added), so line
 breaks, comment marks and sentences around a notice do not matter. An alignment that lacks few enough
 words, none of them with a digit, is compressed alone and with the template as a raw zstandard
-dictionary, with the lines it stands in: the size saved is what the template explains. Where alignments overlap, the template
+dictionary: the size saved is what the template explains. Where alignments overlap, the template
 that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words).
 
 Words added to a notice are at most ``SPREAD`` times its own; templates of fewer than ``SHORT``
@@ -159,8 +159,7 @@ class Scanner:
                     continue
                 lo, hi = words[a + s].start(), words[a + e - 1].end()
                 hi += len(t.tail) if text.startswith(t.tail, hi) else 0
-                line = text.rfind("\n", 0, lo) + 1, text.find("\n", hi) % (len(text) + 1)
-                data = WRAP.sub(" ", text[slice(*line)]).encode()
+                data = WRAP.sub(" ", text[lo:hi]).encode()
                 alone, given = len(self.plain.compress(data)), len(t.press.compress(data))
                 if 1 - given / alone >= MIN_SAVING:
                     used[s:e] = True

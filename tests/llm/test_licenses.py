@@ -59,3 +59,12 @@ def test_nothing_is_read_across_numbers_and_sentences():
     s = Scanner()
     assert s.scan("This work is licensed under the GNU General Public License, version 7. Chapter 2 is here.") == []
     assert s.scan("The album was released under the label in 1999. The MIT students got a license.") == []
+
+
+def test_neighbours_do_not_hide_a_notice():
+    s = Scanner()
+    for name, text in TEMPLATES:
+        for near in ("Copyright (c) 2019-2024 Jane Roe and the toolkit contributors.", "All permissions are kept. " * 30):
+            for doc in (f"{near}\n{text}", f"{text} {near}", f"{near} {text} {near}"):
+                found = s.scan(doc)
+                assert [(f.license, doc[f.start:f.end]) for f in found] == [(name, text)]
