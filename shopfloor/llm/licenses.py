@@ -6,7 +6,8 @@ by an exact dynamic program (template words may be missing, other words may be a
 breaks, comment marks and sentences around a notice do not matter. An alignment that lacks few enough
 words, none of them with a digit, is compressed alone and with the template as a raw zstandard
 dictionary: the size saved is what the template explains. Where alignments overlap, the template
-that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words).
+that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words); the words left over are aligned again until no template is
+confirmed, so lists of licenses give one finding for each notice.
 
 Words added to a notice are at most ``SPREAD`` times its own; templates of fewer than ``SHORT``
 words hold no foreign sentence start, and no version number is read across another number.
@@ -140,10 +141,17 @@ class Scanner:
                 gap = text[words[k - 1].end():words[k].start()]
                 if len(gap) > 1 and SENTENCE.search(gap) and (words[k].group()[0].isupper() or "\n" in gap):
                     breaks[k] = True
-            for t, start, end, lo, hi, saving in self._confirmed(text, words, ids, breaks, 0, len(words)):
-                missing, added, wording = differences(t.words, plain[start:end])
-                out.append(Finding(lo, hi, t.name, round(saving, 4), len(missing), len(added), wording))
-        return out
+            rest = [(0, len(words))]
+            while rest:
+                a, b = rest.pop()
+                taken = self._confirmed(text, words, ids, breaks, a, b)
+                for t, start, end, lo, hi, saving in taken:
+                    missing, added, wording = differences(t.words, plain[start:end])
+                    out.append(Finding(lo, hi, t.name, round(saving, 4), len(missing), len(added), wording))
+                if taken:
+                    edges = [a, *[x for _, s, e, *_ in taken for x in (s, e)], b]
+                    rest += [(x, y) for x, y in zip(edges[::2], edges[1::2]) if x < y]
+        return sorted(out, key=lambda f: f.start)
 
     def _confirmed(self, text, words, ids, breaks, a: int, b: int) -> list[tuple]:
         """(template, first word, end word, start, end, saving) of notices among words a to b that do

@@ -68,3 +68,15 @@ def test_neighbours_do_not_hide_a_notice():
             for doc in (f"{near}\n{text}", f"{text} {near}", f"{near} {text} {near}"):
                 found = s.scan(doc)
                 assert [(f.license, doc[f.start:f.end]) for f in found] == [(name, text)]
+
+
+def test_every_notice_is_a_finding():
+    s = Scanner()
+    lists = [[0, 1], list(range(len(TEMPLATES))), list(range(len(TEMPLATES)))[::-1]]
+    for sep in ("\n", " ", "\n\n"):
+        for order in lists:
+            assert [f.license for f in s.scan(sep.join(TEMPLATES[i][1] for i in order))] == [TEMPLATES[i][0] for i in order]
+    assert [f.license for f in s.scan("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")] \
+        == ["MIT", "Apache-2.0"]
+    many = "Released under the MIT License.\n" * 300
+    assert [many[f.start:f.end] for f in s.scan(many)] == ["Released under the MIT License."] * 300
