@@ -150,7 +150,8 @@ class Encoder:
         lines = "\n".join(pieces)
         plain = unicodedata.is_normalized("NFC", lines)
         apart = [(p, low, marks) for p, core, marks in LETTERS_MARKS.findall(lines)
-                 if (low := core.lower()).isalpha() and len(low) == len(core) and len(core) <= CACHED_LENGTH
+                 if "\u03a3" not in core  # str.lower makes a word-final one another letter than the tokenizer does
+                 and (low := core.lower()).isalpha() and len(low) == len(core) and len(core) <= CACHED_LENGTH
                  and (plain or unicodedata.is_normalized("NFC", core))]
         other = pieces.difference([p for p, _, _ in apart])
         other.update({marks for _, _, marks in apart}.difference(known))

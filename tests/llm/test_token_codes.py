@@ -45,6 +45,15 @@ def test_encoder_equals_tokenizer(tok):
         assert np.frombuffer(code, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_capital_sigma_and_every_other_letter(tok):
+    enc = Encoder(open(PATH, encoding="utf-8").read())
+    texts = ["ΟΔΟΣ", "ΣΑΣ,", "Σ", "ΟΔΟΣ. ΟΔΟς οδοσ ΣΊΣΥΦΟΣ!", "(ΑΣ) ΑΣ's Σ1 aΣ", "ΟΔΟΣ\u0301 ΑΣ\u00adΑ"]
+    texts += [f"{a}{chr(c)}{b}" for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() != chr(c)
+              for a, b in (("", ""), ("a", ""), ("", "b"), ("Α", "!"))]
+    for text, code in zip(texts, enc(texts)):
+        assert np.frombuffer(code, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_documents_read_back(spark, tok):
     df = awkward(spark).repartition(5)
     got = token_output(df, PATH, segment_tokens=50).collect()
