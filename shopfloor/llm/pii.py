@@ -2,7 +2,9 @@
 
 Seeds are the matches of four fixed patterns (email, ip, card, phone) in the whole text.
 Bootstrapping: every seed and every other identifier-like token (a run of non-spaces with a
-digit or an at sign) is a *mention* with the words before it as its lexical pattern.
+digit or an at sign) is a *mention* with the words before it as its lexical pattern. So is every
+run of digit groups with spaces (``RUN``) of 7 to 19 digits; the tokens inside it do not count a second time as
+mentions, and are reported only if the run is not.
 Mentions form a bipartite graph pattern - instance, which is scored in rounds:
 
     score(pattern, kind)  = sum of confidence(instance, kind) over its mentions / (mentions + 1)
@@ -51,6 +53,11 @@ REGEX = {
 HINT = {"email": "@", "phone": "+"}
 MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
+# Digit groups joined by single spaces, dots, hyphens, slashes and parentheses; a group ends at no letter.
+RUN = (r"(?<![\p{L}0-9_@])(?:\((?=\+?[0-9]++\)))?+\+?+[0-9]++(?![\p{L}_@])"
+       r"(?:(?:\)[\x20./-]?+\(?+|[\x20./-]\(?+|\()[0-9]++(?![\p{L}_@]))++")
+RUN_DIGITS = (7, 19)
+
 
 @dataclass(frozen=True)
 class Bootstrap:
@@ -87,7 +94,7 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def raw_matches(df: DataFrame, id_col: str, text_col: str, p: Bootstrap) -> DataFrame:
-    """(id, row, and for each kind and for mentions: values, piece lengths, contexts), from
+    """(id, row, and for each kind, for mentions and for spaced digit runs: values, piece lengths, contexts), from
     one pass over the texts. Only texts that can match pay for a regex."""
     def context(piece: Column) -> Column:
         words = F.filter(F.split(ascii_lower(F.right(piece, F.lit(p.context_chars))), r"[\x20\x09-\x0D]+"),
@@ -98,7 +105,7 @@ def raw_matches(df: DataFrame, id_col: str, text_col: str, p: Bootstrap) -> Data
     out = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     cols = []
-    for name, rx in {**REGEX, "mention": MENTION}.items():
+    for name, rx in {**REGEX, "mention": MENTION, "run": RUN}.items():
         maybe = F.col("t").contains(HINT[name]) if name in HINT else F.col("t").rlike("[0-9@]")
         values = F.when(maybe, F.regexp_extract_all("t", F.lit(rx), 0))
         pieces = F.when(maybe, F.split("t", rx, -1))
@@ -109,9 +116,9 @@ def raw_matches(df: DataFrame, id_col: str, text_col: str, p: Bootstrap) -> Data
 
 def located(matches: DataFrame) -> DataFrame:
     """(id, row, spans): spans = array of (kind no, start, end, value, ctx) of all base
-    matches that pass their check, and mentions as kind no 4."""
+    matches that pass their check, and mentions as kind no 4, spaced digit runs as kind no 5."""
     df = matches
-    names = [*KINDS, "mention"]
+    names = [*KINDS, "mention", "run"]
     for name in names:  # piece and match lengths alternate: p0 m0 p1 m1 ... p_n
         lens = F.flatten(F.transform(f"{name}_p", lambda x, i: F.array(
             x["len"].cast("long"), F.coalesce(F.length(F.get(F.col(f"{name}_v"), i)), F.lit(0)).cast("long"))))
@@ -129,33 +136,50 @@ def located(matches: DataFrame) -> DataFrame:
         if name in KINDS:
             check = functools.partial(valid, name)
             found = F.filter(found, lambda s: check(s["value"]))
+        if name == "run":
+            found = F.filter(found, lambda s: s["value"].contains(" ") & F.length(_digits(s["value"])).between(*RUN_DIGITS))
         spans.append(F.coalesce(found, F.array().cast(
             "array<struct<k:int,start:bigint,end:bigint,value:string,ctx:string>>")))
-    return df.select("id", "row", F.concat(*spans[:-1]).alias("base"), spans[-1].alias("mentions"))
+    return df.select("id", "row", F.concat(*spans[:-2]).alias("base"), F.concat(*spans[-2:]).alias("mentions"))
 
 
 def free_mentions(found: DataFrame) -> DataFrame:
-    """(row, m): mentions that overlap no base span of their text. Where a text has both, one
-    sweep over their starts compares each mention with the furthest end before it and the
-    nearest base start after it."""
-    alone = found.where(F.size("base") == 0).select("row", F.explode("mentions").alias("m"))
-    both = found.where((F.size("base") > 0) & (F.size("mentions") > 0)) \
+    """(row, m, home): mentions and runs that overlap no base span of their text; home = start of the run
+    that a mention overlaps, or of the run itself. Where a text has base spans or runs, one sweep over the starts
+    compares each mention with the furthest end before it and the nearest start after it."""
+    run_k = len(KINDS) + 1
+    no_home = F.lit(None).cast("long").alias("home")
+    plain = (F.size("base") == 0) & ~F.exists("mentions", lambda m: m["k"] == run_k)
+    alone = found.where(plain).select("row", F.explode("mentions").alias("m")).select("row", "m", no_home)
+    both = found.where(~plain & (F.size("mentions") > 0)) \
         .select("row", F.explode(F.concat("base", "mentions")).alias("m")) \
         .withColumn("is_base", F.col("m.k") < len(KINDS))
-    forth = Window.partitionBy("row").orderBy("m.start", "m.end", F.desc("is_base")).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy("row").orderBy(F.desc("m.start"), F.desc("m.end"), F.desc("is_base")).rowsBetween(Window.unboundedPreceding, 0)
+
+    def forth_of(first):
+        return Window.partitionBy("row").orderBy("m.start", "m.end", first).rowsBetween(Window.unboundedPreceding, 0)
+
+    def back_of(first):
+        return Window.partitionBy("row").orderBy(F.desc("m.start"), F.desc("m.end"), first).rowsBetween(Window.unboundedPreceding, 0)
+
+    forth, back = forth_of(F.desc("is_base")), back_of(F.desc("is_base"))
     swept = both.select("row", "m", "is_base", F.max(F.when(F.col("is_base"), F.col("m.end"))).over(forth).alias("behind"),
                         F.min(F.when(F.col("is_base"), F.col("m.start"))).over(back).alias("ahead"))
     clear = (F.coalesce("behind", F.lit(0)) <= F.col("m.start")) & (
         F.col("ahead").isNull() | (F.col("ahead") >= F.col("m.end")))
-    return alone.unionByName(swept.where(~F.col("is_base") & clear).select("row", "m"))
+    free = swept.where(~F.col("is_base") & clear).select("row", "m", (F.col("m.k") == run_k).alias("is_run"))
+    run = F.when(F.col("is_run"), F.struct("m.start", "m.end"))  # runs do not overlap each other
+    homes = free.select("row", "m", "is_run", F.max(run).over(forth_of(F.desc("is_run"))).alias("before"),
+                        F.min(run).over(back_of(F.desc("is_run"))).alias("next"))
+    home = F.when(F.col("is_run"), F.col("m.start")).when(F.col("before.end") > F.col("m.start"), F.col("before.start")) \
+        .when(F.col("next.start") < F.col("m.end"), F.col("next.start"))
+    return alone.unionByName(homes.select("row", "m", home.alias("home")))
 
 
 def bootstrap(mentions: DataFrame, p: Bootstrap) -> DataFrame:
-    """Score the pattern-instance graph. mentions: (ctx, inst, kind no or null for unknown).
+    """Score the pattern-instance graph. mentions: (ctx, inst, kind no or null for unknown, weight).
     Returns (ctx, kind, inst, confidence) of the trusted pattern edges."""
     edges = materialize(mentions.where(F.col("ctx") != "").groupBy("ctx", "inst", "kind")
-                        .agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+                        .agg(F.sum("weight").alias("n")), "pii-edges")
     total = edges.groupBy("ctx").agg(F.sum("n").alias("total"))
     seeds = edges.where(F.col("kind").isNotNull()).select("inst", "kind").distinct() \
         .withColumn("confidence", F.lit(1.0))
@@ -182,23 +206,30 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k = position of the kind in ``KINDS``; base sorted by kind and start."""
     matches = materialize(raw_matches(df, id_col, text_col, params), "pii-matches")
     found = materialize(located(matches), "pii-spans")
-    core = F.regexp_replace(F.regexp_replace("m.value", r"^[^\p{L}\p{N}+]++", ""), r"[^\p{L}\p{N}]++$", "")
-    lead = F.length("m.value") - F.length(F.regexp_replace("m.value", r"^[^\p{L}\p{N}+]++", ""))
+    is_run = F.col("m.k") == len(KINDS) + 1
+    behind = F.regexp_replace("m.value", r"^[^\p{L}\p{N}+]++", "")
+    core = F.when(is_run, F.col("m.value")).otherwise(F.regexp_replace(behind, r"[^\p{L}\p{N}]++$", ""))
+    lead = F.when(is_run, 0).otherwise(F.length("m.value") - F.length(behind))
     loose = free_mentions(found).select(
-        "row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx")) \
+        "row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx"),
+        "home", is_run.alias("is_run")) \
         .where(F.length(_digits(F.col("value"))) >= 2)
     seeds = found.select(F.explode("base").alias("m")).select(
-        F.col("m.ctx").alias("ctx"), ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"))
+        F.col("m.ctx").alias("ctx"), ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"),
+        F.lit(1).alias("weight"))
     loose = loose.withColumn("inst", ascii_lower(F.col("value")))
-    mentions = seeds.unionByName(loose.select("ctx", "inst", F.lit(None).cast("int").alias("kind")))
+    mentions = seeds.unionByName(loose.select("ctx", "inst", F.lit(None).cast("int").alias("kind"),
+                                                   F.when(F.col("is_run") | F.col("home").isNull(), 1).otherwise(0).alias("weight")))
     accepted = bootstrap(mentions, params)
     digits, kind = _digits(F.col("value")), F.col("kind")
     fits = F.when(kind == KINDS.index("email"), F.length("value") >= 5) \
         .when(kind == KINDS.index("ip"), F.col("value").rlike(r"^[0-9a-fA-F.:]{7,}$")) \
         .when(kind == KINDS.index("card"), F.length(digits).between(12, 19)) \
         .otherwise(F.length(digits).between(7, 15))
-    new = loose.join(accepted.select("ctx", "inst", "kind", "confidence"), ["ctx", "inst"]).where(fits) \
-        .groupBy("row", "start", "value").agg(F.max_by("kind", F.struct("confidence", -kind)).alias("k"))
+    new = loose.join(accepted.select("ctx", "inst", "kind", "confidence"), ["ctx", "inst"]).where(fits & (~F.col("is_run") | kind.isin(KINDS.index("card"), KINDS.index("phone")))) \
+        .groupBy("row", "start", "value", "home", "is_run").agg(F.max_by("kind", F.struct("confidence", -kind)).alias("k"))
+    covered = F.max("is_run").over(Window.partitionBy("row", F.coalesce("home", -F.col("start") - 1)))
+    new = new.withColumn("covered", covered).where(F.col("is_run") | ~F.col("covered"))
     extra = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "k", "start", (F.col("start") + F.length("value")).alias("end"), "value"))).alias("extra"))
     return found.join(extra, "row", "left").select(

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shopfloor.llm.pii import KINDS, REGEX, Bootstrap, find_pii, span_text
+from shopfloor.llm.pii import KINDS, REGEX, RUN, Bootstrap, find_pii, span_text
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -76,6 +76,27 @@ def test_context_finds_unseen_identifiers(spark):
     assert all(len(got[i].base) == 1 and got[i].extra == [] for i in range(40))
 
 
+def test_context_finds_spaced_identifiers(spark):
+    seen = [f"Please call hotline at +1 (212) 555-{i:04d} today" for i in range(40)]
+    seen += [f"paid with card 4111 1111 1111 1111 and {i}" for i in range(3)]
+    seen += ["paid with card 6011-0009-9013-9424 ok", "paid with card 5500 0000 0000 0004 ok"] * 3
+    new = {"call hotline at ": ["0212 555 9876", "(555) 123-4567", "0212 5559876", "555 123.4567", "0049 (30) 1234567"],
+           "paid with card ": ["4111 1111 1111 1112", "6011 0009 9013 9425"]}
+    unseen = [(f"Please {c}{v}{end}", v, k) for (c, vs), k in zip(new.items(), ("phone", "card")) for v in vs for end in (" x", ".")]
+    plain = [("call hotline at 0212-555-9876 2024 12345678901234567890 now", "0212-555-9876"), ("in 0212 555 9876", None)]
+    texts = seen + [t for t, _, _ in unseen] + [t for t, _ in plain]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, v, k) in enumerate(unseen, len(seen)):
+        assert [(x.value, KINDS[x.k], t[x.start:x.end]) for x in got[i].extra] == [(v, k, v)], t
+    for i, (t, v) in enumerate(plain, len(texts) - len(plain)):
+        assert [x.value for x in got[i].extra] == ([v] if v else []), t
+
+
+def test_spaced_runs_are_linear(spark):
+    df = spark.createDataFrame([("1 " * 100_000,), ("1-(" * 70_000,), ("(1)" * 70_000,), ("1a 1 " * 50_000,)], "t string")
+    assert [r.n for r in df.select(F.size(F.regexp_extract_all("t", F.lit(RUN), 0)).alias("n")).collect()] == [1, 1, 1, 0]
+
+
 def test_weak_patterns_find_nothing(spark):
     mixed = [f"of +1 (212) 555-{i:04d} and" for i in range(5)] + [f"of 1234567{i:02d} and" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
