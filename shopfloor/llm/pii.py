@@ -213,7 +213,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loose = free_mentions(found).select(
         "row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx"),
         "home", is_run.alias("is_run")) \
-        .where(F.length(_digits(F.col("value"))) >= 2)
+        .where(F.col("value").rlike("[0-9@]"))
     seeds = found.select(F.explode("base").alias("m")).select(
         F.col("m.ctx").alias("ctx"), ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"),
         F.lit(1).alias("weight"))
@@ -222,7 +222,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                    F.when(F.col("is_run") | F.col("home").isNull(), 1).otherwise(0).alias("weight")))
     accepted = bootstrap(mentions, params)
     digits, kind = _digits(F.col("value")), F.col("kind")
-    fits = F.when(kind == KINDS.index("email"), F.length("value") >= 5) \
+    fits = F.when(kind == KINDS.index("email"), (F.length("value") >= 5) & (
+        F.col("value").contains("@") | (F.length(digits) >= 2))) \
         .when(kind == KINDS.index("ip"), F.col("value").rlike(r"^[0-9a-fA-F.:]{7,}$")) \
         .when(kind == KINDS.index("card"), F.length(digits).between(12, 19)) \
         .otherwise(F.length(digits).between(7, 15))

@@ -97,6 +97,14 @@ def test_spaced_runs_are_linear(spark):
     assert [r.n for r in df.select(F.size(F.regexp_extract_all("t", F.lit(RUN), 0)).alias("n")).collect()] == [1, 1, 1, 0]
 
 
+def test_context_finds_addresses_without_digits(spark):
+    seen = [f"please write to user{i}@site.org today" for i in range(40)]
+    new = ["jane.doe@intranet", "root@localhost", "jane1@host"]
+    texts = seen + [f"please write to {v}, ok" for v in new] + ["please write to chapter7 ok", "see root@localhost", "please write to @ ok"]
+    got = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[(x.value, KINDS[x.k]) for x in got[i].extra] for i in range(40, 46)] == [[(v, "email")] for v in new] + [[], [], []]
+
+
 def test_weak_patterns_find_nothing(spark):
     mixed = [f"of +1 (212) 555-{i:04d} and" for i in range(5)] + [f"of 1234567{i:02d} and" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
