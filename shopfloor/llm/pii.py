@@ -5,7 +5,8 @@ Bootstrapping: every seed and every other identifier-like token (a run of non-sp
 digit or an at sign) is a *mention* with the words before it as its lexical pattern. So is every
 run of digit groups with spaces (``RUN``) of 7 to 19 digits; the tokens inside it do not count a second time as
 mentions, and are reported only if the run is not.
-Mentions form a bipartite graph pattern - instance, which is scored in rounds:
+Mentions form a bipartite graph pattern - instance, which is scored in rounds until no pattern becomes
+trusted and no score moves by more than ``tolerance`` (``rounds`` is a guard: reaching it is a warning):
 
     score(pattern, kind)  = sum of confidence(instance, kind) over its mentions / (mentions + 1)
     confidence(instance, kind) = 1 for seeds, else 1 - prod(1 - score) over its trusted patterns
@@ -28,6 +29,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +63,8 @@ RUN_DIGITS = (7, 19)
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
+    rounds: int = 50
+    tolerance: float = 1e-3
     context_chars: int = 80
     context_words: int = 2
     min_score: float = 0.6
@@ -186,6 +189,7 @@ def bootstrap(mentions: DataFrame, p: Bootstrap) -> DataFrame:
     conf = seeds
     trusted = None
     for _ in range(p.rounds):
+        before = trusted
         known = edges.select("ctx", "inst", "n").join(conf, "inst")
         score = known.groupBy("ctx", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"),
                                                  F.count(F.lit(1)).alias("support"))
@@ -196,6 +200,16 @@ def bootstrap(mentions: DataFrame, p: Bootstrap) -> DataFrame:
         found = unseen.groupBy("inst", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("confidence"))
         conf = seeds.unionByName(found.join(seeds.select("inst", "kind"), ["inst", "kind"], "left_anti")).checkpoint()
+        if before is None:
+            moved = trusted.limit(1)
+        else:  # scores only grow, so no pattern is lost
+            old = before.select("ctx", "kind", F.col("score").alias("old"))
+            moved = trusted.join(old, ["ctx", "kind"], "left") \
+                .where(F.col("old").isNull() | (F.col("score") - F.col("old") > p.tolerance))
+        if moved.isEmpty():
+            break
+    else:
+        warnings.warn(f"pii: pattern scores still move after {p.rounds} rounds", RuntimeWarning, stacklevel=2)
     return trusted.select("ctx", "kind", "score").join(edges.where(F.col("kind").isNull()).select("ctx", "inst"), "ctx") \
         .join(conf, ["inst", "kind"]).where(F.col("confidence") >= p.min_confidence)
 

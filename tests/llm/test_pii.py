@@ -1,4 +1,5 @@
 import re
+import warnings
 
 import pytest
 from helpers import awkward, empty
@@ -105,6 +106,24 @@ def test_context_finds_addresses_without_digits(spark):
     assert [[(x.value, KINDS[x.k]) for x in got[i].extra] for i in range(40, 46)] == [[(v, "email")] for v in new] + [[], [], []]
 
 
+def test_rounds_go_on_until_scores_settle(spark):
+    def number(level, i):
+        return f"0212-55{level}-{i:04d}"
+
+    texts = [f"hop zero +1 (212) 555-{i:04d} x" for i in range(60)]
+    for level in range(1, 7):  # numbers of a level stand behind the pattern before, and lead to the next one
+        names = ["zero", "one", "two", "three", "four", "five", "six"]
+        texts += [f"hop {names[level - 1]} {number(level, i)} x" for i in range(3)]
+        texts += [f"hop {names[level]} {number(level, i)} x" for i in range(3) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        got = find_pii(df).collect()
+    assert all(len(r.base) + len(r.extra) == 1 for r in got)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        find_pii(df, params=Bootstrap(rounds=2))
+
+
 def test_weak_patterns_find_nothing(spark):
     mixed = [f"of +1 (212) 555-{i:04d} and" for i in range(5)] + [f"of 1234567{i:02d} and" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
