@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopfloor.session import materialize
+
 BITS = 15
 SIZE = 1 << BITS
 PER_LANGUAGE = 1500
@@ -167,19 +169,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Ecoc | None:
     """Fit on at most ``per_language`` documents of each language outside the held-out fold."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
-        .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_order"))
-    # the smallest hashes of a language lie far below 3 per_language / n; only those are ranked
+        .select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_order")).distinct()
+    known = materialize(known, "langid-ids")
+    # the smallest hashes of a language lie far below 3 per_language / n; only those are ranked, or all where too few do
     # (counts has one row per language, as many as the sample has groups)
     counts = known.groupBy(F.col("_lang").alias("_l")).agg(F.count(F.lit(1)).alias("_c"))
     share = F.col("_order").cast("double") / 2.0**64 + 0.5
-    known = known.join(F.broadcast(counts), F.col("_lang") == F.col("_l")).where(share * F.col("_c") <= 3 * per_language) \
+    known = known.join(F.broadcast(counts), F.col("_lang") == F.col("_l")) \
+        .select("_id", "_lang", "_order", (share * F.col("_c") <= 3 * per_language).alias("_near"))
+    enough = known.groupBy(F.col("_lang").alias("_l")).agg((F.count_if("_near") >= per_language).alias("_enough"))
+    known = known.join(F.broadcast(enough), F.col("_lang") == F.col("_l")).where(F.col("_near") | ~F.col("_enough")) \
         .select("_id", "_lang", "_order")
     w = Window.partitionBy("_lang").orderBy("_order", "_id")
     sample = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language) \
-        .select("_id", "_lang", "_order").distinct()
+        .select("_id", "_lang", "_order")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(sample), (F.col("_doc") == F.col("_id")) & (F.col("_l") == F.col("_lang")))
-    made = joined.where(F.col("_text").isNotNull()).select("_order", "_lang", "_text").mapInArrow(
+    joined = joined.where(F.col("_text").isNotNull()).groupBy("_id", "_order", "_lang").agg(F.min("_text").alias("_text"))
+    made = joined.select("_order", "_lang", "_text").mapInArrow(  # one row per id
         _featurize, "order bigint, lang string, index array<int>, value array<float>")
     row = made.repartition(1).mapInArrow(_fit_task(epochs), "model binary").first()
     return row and Ecoc.loads(bytes(row["model"]))

@@ -103,6 +103,18 @@ def test_held_out_rows_teach_nothing(spark):
     assert a.languages == b.languages and (a.weights == b.weights).all()
 
 
+def test_language_sample_with_repeated_and_far_ids(spark):
+    ids = spark.range(2000).selectExpr("id", "xxhash64(id) / power(2D, 64) + 0.5 AS s", "crc32(cast(cast(id as string) as binary)) % 4 = 2 AS h")
+    ids = [r.id for r in ids.where("not h and s > 0.3").orderBy("id").limit(80).collect()]
+    once = [(i, "bacada fagaha " * 5 if i % 2 else "zyxwo vutso " * 5, "aa" if i % 2 else "bb") for i in ids]
+    few = [r for r in once if r[2] == "aa"][:4] + [r for r in once if r[2] == "bb"]
+    schema = "doc_id long, text string, lang string"
+    plain = langid.train(spark.createDataFrame(few, schema), per_language=3)
+    assert list(plain.languages) == ["aa", "bb"]
+    again = langid.train(spark.createDataFrame(few * 30, schema), per_language=3)
+    assert list(again.languages) == ["aa", "bb"] and (again.weights == plain.weights).all()
+
+
 def test_language_awkward_rows(spark):
     df = awkward(spark, [(60, "123 !! 456"), (61, "ªº x")])
     model = langid.train(df)
