@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopfloor.llm import (decontaminate, exact_dedup, langid, licenses, mixing, pii, quality, simhash,
-                           token_codes, warc)
+from shopfloor.llm import (decontaminate, exact_dedup, filter_audit, importance, langid, licenses, mixing, pii, quality,
+                           sharding, simhash, token_codes, warc)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,50 @@ SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(
 FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))""")
 def op10(spark, sf_dir):
     return warc.dedup_archive(table(spark, sf_dir, "pages"))
+
+
+@query("op11_importance")
+def op11(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_filter_audit", r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(range(5)) AS i),
+o AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM f a, f b, f c, f d, f e
+      WHERE (1 << a.i) + (1 << b.i) + (1 << c.i) + (1 << d.i) + (1 << e.i) = 31),
+s AS (SELECT substr('ABCDE', a + 1, 1) || substr('ABCDE', b + 1, 1) || substr('ABCDE', c + 1, 1) || substr('ABCDE', d + 1, 1)
+        || substr('ABCDE', e + 1, 1) AS filter_order, unnest([a, b, c, d, e]) AS fil, unnest([1, 2, 3, 4, 5]) AS step,
+        unnest([0, 1 << a, (1 << a) + (1 << b), (1 << a) + (1 << b) + (1 << c), 31 - (1 << e)]) AS before FROM o),
+r AS (SELECT part, filter_order, step, fil,
+        sum(CASE WHEN mask & (before | (1 << fil)) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << fil) > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before > 0 AND mask & (1 << fil) > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = 1 << fil THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << fil) > 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & (1 << fil) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, fil)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, fil) AS BIGINT) AS shapley
+FROM r""")
+def op12(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_sharding")
+def op13(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
