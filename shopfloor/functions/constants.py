@@ -144,6 +144,12 @@ EDGE_DENSITY_HIGH = 0.035
 GREY_RANGE_LOW = 100.0
 GREY_RANGE_HIGH = 140.0
 GREY_WEIGHTS = (0.299, 0.587, 0.114)
+# Edge detector: low and high threshold, tan(22.5 degrees) * 2 ** 15. Region box: least corner, least side, distance of
+# the default box from the centre, its side.
+CANNY_LOW = 30
+CANNY_HIGH = 120
+CANNY_TAN_22 = 13573
+REGION_BOX = (5, 20, 20, 40)
 HEAT_KERNEL_SIGMA = 28.0
 
 # Human decisions.
@@ -151,7 +157,7 @@ DECISION_TYPES = ["APPROVE", "REJECT", "MODIFY"]
 DECISION_STATUS = "LOGGED_TO_CONTINUOUS_LEARNING_QUEUE"
 DEFAULT_DECISION_NOTES = "Approved without modification."
 
-# Retraining formulas: base + min(cap, n * step), 4 decimals.
+# Retraining parameters: learning rate, and estimators = base + decisions * step.
 RETRAIN_LEARNING_RATE = 0.05
 RETRAIN_BASE_ESTIMATORS = 120
 RETRAIN_ESTIMATORS_STEP = 5

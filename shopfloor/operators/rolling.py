@@ -125,19 +125,3 @@ def _carry_fills(rows: DataFrame, positioned: DataFrame, key, fills) -> DataFram
         for alias, _ in fills
     }).drop(*[f"_{p}_{a}" for a, _ in fills for p in ("ff", "bf", "cf", "cb")])
 
-
-def time_buckets_with_context(df: DataFrame, ts: str, range_seconds: int, bucket_seconds: int) -> DataFrame:
-    """Rows tagged with a time bucket; rows in the last ``range_seconds`` of a bucket are
-    also copied (``_ctx``) into the next bucket, so range frames up to that width are
-    exact inside ``(key, bucket)``."""
-    if range_seconds > bucket_seconds:
-        raise ValueError("bucket must be at least as wide as the range frame")
-    sec = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
-    b = F.floor(sec / bucket_seconds)
-    near_end = sec >= (b + 1) * bucket_seconds - range_seconds
-    copies = F.when(near_end, F.array(
-        F.struct(b.alias("bucket"), F.lit(False).alias("ctx")),
-        F.struct((b + 1).alias("bucket"), F.lit(True).alias("ctx")),
-    )).otherwise(F.array(F.struct(b.alias("bucket"), F.lit(False).alias("ctx"))))
-    return df.select("*", sec.alias("_sec"), F.explode(copies).alias("_copy")) \
-        .withColumn("_bucket", F.col("_copy.bucket")).withColumn("_ctx", F.col("_copy.ctx")).drop("_copy")

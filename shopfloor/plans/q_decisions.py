@@ -127,15 +127,26 @@ def q_top_source_events(spark, sf_dir):
     return fan_in(spark, sf_dir).groupBy("slot", "top_source").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-_TEXT_SQL = {"machine": "machine_id", "probability": "round(failure_probability, 4)", "vibration": "round(vibration, 2)",
-             "temperature": "round(temperature, 2)", "percent": "printf('%.1f', failure_probability * 100)",
+def _shown_sql(value: str, digits: int) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(18, 6)), {digits}) AS DOUBLE)"
+
+
+def _shown(value: Column, digits: int) -> Column:
+    """A measured value rounded half up from its six-decimal form, so that a value on a rounding tie
+    (59.505) reads the same whichever binary neighbour it is stored as."""
+    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+
+
+_TEXT_SQL = {"machine": "machine_id", "probability": _shown_sql("failure_probability", 4),
+             "vibration": _shown_sql("vibration", 2), "temperature": _shown_sql("temperature", 2),
+             "percent": f"printf('%.1f', {_shown_sql('failure_probability * 100', 1)})",
              "source": "top_source", "content": f"coalesce(top_content, '{K.DEFAULT_EVIDENCE_CONTENT}')", "action": "action_summary"}
 
 
 def _text_values() -> dict:
-    return {"machine": F.col("machine_id"), "probability": F.round("failure_probability", 4),
-            "vibration": F.round("vibration", 2), "temperature": F.round("temperature", 2),
-            "percent": F.format_string("%.1f", F.col("failure_probability") * 100), "source": F.col("top_source"),
+    return {"machine": F.col("machine_id"), "probability": _shown(F.col("failure_probability"), 4),
+            "vibration": _shown(F.col("vibration"), 2), "temperature": _shown(F.col("temperature"), 2),
+            "percent": F.format_string("%.1f", _shown(F.col("failure_probability") * 100, 1)), "source": F.col("top_source"),
             "content": F.coalesce("top_content", F.lit(K.DEFAULT_EVIDENCE_CONTENT)), "action": F.col("action_summary")}
 
 

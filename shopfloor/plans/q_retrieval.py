@@ -15,7 +15,7 @@ PARAMS = K.RetrievalParams()
 
 
 def index(spark, sf_dir) -> RT.TfidfIndex:
-    return RT.TfidfIndex(B.chunks(spark, sf_dir), IDS)
+    return RT.stored_index(B.chunks(spark, sf_dir), IDS)
 
 
 def _stop_values() -> str:
@@ -117,7 +117,7 @@ def q_j_idf(spark, sf_dir):
 
 @register("a_l2_norm", TFIDF + " SELECT doc_id, section_no, round(norm, 6) AS norm FROM cn")
 def q_norm(spark, sf_dir):
-    return round_doubles(index(spark, sf_dir).norms)
+    return round_doubles(index(spark, sf_dir).norms.select(*IDS, "norm"))
 
 
 @register("j_query_terms", TFIDF + " SELECT query_id, term, round(w, 6) AS w FROM qu")

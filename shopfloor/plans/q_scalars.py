@@ -26,7 +26,7 @@ FROM imputed i, bnd, st"""))
 def q_stats(spark, sf_dir):
     """Every row with the one-row global statistics attached (fitted once, applied as literals)."""
     t = B.telemetry(spark, sf_dir)
-    st = cleaning.fit_stats(t, all_medians=True)
+    st = cleaning.fit_stats(t)
     i = cleaning.impute_median(t, st, K.SENSOR_COLUMNS)
     return round_doubles(i.select(*KEYS, "temperature", F.lit(st["lo_temperature"]).alias("lo_temperature"),
                                   F.lit(st["hi_temperature"]).alias("hi_temperature"),

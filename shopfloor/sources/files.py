@@ -38,7 +38,10 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("supervisor_id", T.StringType()), T.StructField("notes", T.StringType()),
     T.StructField("status", T.StringType())])
 
+#: Text timestamps: whole seconds, or up to six digits after a point.
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TS_READ_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+TS_FRACTION_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -60,12 +63,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, ts_col: str |
             for f in schema.fields]
     df = df.select(*cols, *([F.col("_bad").alias(corrupt_col)] if corrupt_col else []))
     if ts_col:
-        df = df.withColumn(ts_col, F.try_to_timestamp(F.col(ts_col), F.lit(TS_FORMAT)))
+        df = df.withColumn(ts_col, F.try_to_timestamp(F.col(ts_col), F.lit(TS_READ_FORMAT)))
     return df
 
 
 def with_text_ts(df: DataFrame, col: str = "ts", out: str = "timestamp") -> DataFrame:
-    return df.withColumn(out, F.date_format(col, TS_FORMAT)).drop(col)
+    """Time as text; the fraction of a second is written where there is one."""
+    whole = F.date_trunc("second", col) == F.col(col)
+    return df.withColumn(out, F.when(whole, F.date_format(col, TS_FORMAT)).otherwise(F.date_format(col, TS_FRACTION_FORMAT))) \
+        .drop(col)
 
 
 def write_manuals(docs: DataFrame, path: str) -> None:

@@ -95,3 +95,10 @@ def test_surface_never_normal(spark):
     out = [tuple(r) for r in df.select(*R.surface_verdict("h", "e", "g")).collect()]
     assert out == [("Crack", 0.91, "Moderate"), ("Overheat", 0.89, "Critical"),
                    ("Scratch", 0.87, "Moderate"), ("Crack", 0.96, "Critical")]
+
+
+def test_shown_values_on_rounding_ties(spark):
+    """Values stored just below a tie read like the six-decimal value they stand for."""
+    from shopfloor.plans.q_decisions import _shown
+    df = spark.createDataFrame([(59.505,), (58.645,), (2.675,), (-0.125,), (None,)], "v double")
+    assert [r[0] for r in df.select(_shown(F.col("v"), 2)).collect()] == [59.51, 58.65, 2.68, -0.13, None]

@@ -49,8 +49,7 @@ def test_time_range_hot_path(spark):
     t = B.telemetry(spark, SF_SMALL)
     spec = {"m": ("avg", "temperature"), "n": ("count", "temperature")}
     a = time_range_features(t, "machine_id", "ts", 6 * 86400, spec)
-    b = time_range_features(t, "machine_id", "ts", 6 * 86400, spec, bucket_seconds=7 * 86400,
-                            skew=SkewParams(hot_rows=3))
+    b = time_range_features(t, "machine_id", "ts", 6 * 86400, spec, skew=SkewParams(hot_rows=3, chunk_rows=2))
     assert _rows(a, KEYS + ["m", "n"]) == _rows(b, KEYS + ["m", "n"])
 
 

@@ -131,3 +131,17 @@ def test_late_and_replayed_decisions_over_micro_batches(spark, tmp_path):
     assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 5, 6]
     whole = J.run_to_parquet(J.feedback_stream(spark, str(tmp_path)), spark, "whole")
     assert sorted(r.event_id for r in whole.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_csv_keeps_fractions_of_a_second(spark):
+    import datetime as dt
+    stamps = [dt.datetime(2024, 1, 1, 0, 0, 7, 179575), dt.datetime(2024, 1, 1, 0, 0, 7), dt.datetime(1999, 12, 31, 23, 59, 59, 1), None]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(stamps)], "log_id string, ts timestamp_ntz")
+    path = checkpoint_dir(spark, "csv-fractions")
+    FS.write_csv(FS.with_text_ts(df), path)
+    texts = {r.log_id: r.timestamp for r in spark.read.option("header", True).csv(path).collect()}
+    assert (texts["0"], texts["1"]) == ("2024-01-01 00:00:07.179575", "2024-01-01 00:00:07")
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("timestamp", T.StringType())])
+    back = FS.read_csv(spark, path, schema).select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+    assert [r.ts for r in back.orderBy("log_id").collect()] == stamps
