@@ -6,7 +6,9 @@ import public_tokenizers as P
 import pytest
 from helpers import awkward, empty
 
-from shopfloor.llm.token_codes import Encoder, Segment, encode_segment, read_documents, token_output, write_tokens
+from shopfloor.llm import token_codes as T
+from shopfloor.llm.token_codes import (Encoder, Segment, TokenStore, encode_segment, read_documents, read_token, token_output,
+                                       write_tokens)
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -75,3 +77,74 @@ def test_empty_and_reread(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a a")], "doc_id long, text string")
     write_tokens(df, str(tmp_path / "t"), PATH)
     assert [(r.doc_id, r.start) for r in read_documents(spark, str(tmp_path / "t")).orderBy("start").collect()] == [(1, 0), (2, 3)]
+
+
+def test_small_table_turns_over(tok):
+    """Two generations of 50 tokens each, many batches: same ids as with a large table."""
+    enc = Encoder(open(PATH, encoding="utf-8").read(), table_tokens=50)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randrange(1, 9))) + r.choice(["", ",", "!?", "'s"]) for _ in range(600)]
+    for _ in range(40):
+        texts = [" ".join(r.choices(words, k=20)) for _ in range(5)] + ["", None]
+        ids, ends = enc.encode(__import__("pyarrow").array(texts))
+        for t, a, b in zip(texts, ends[:-1], ends[1:]):
+            assert ids[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+        assert enc.young.n < 50 + 400
+
+
+def test_every_byte_beside_letters(tok):
+    enc = Encoder(open(PATH, encoding="utf-8").read())
+    texts = [f"{a}{chr(c)}{b}" for c in range(256) for a in ("", "x", "A1", "é", " ") for b in ("", "y", "'t", "2", "Ü,", "\u0301")]
+    for text, code in zip(texts, enc(texts)):
+        assert np.frombuffer(code, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("top", [1, 200, 49_408, 1 << 32])
+def test_single_tokens_read_few_bytes(top):
+    ids = np.random.default_rng(top).integers(0, top, 20_000, dtype=np.uint64).astype(np.uint32)
+    data, read_bytes = encode_segment(ids), 0
+
+    def read(at, n):
+        nonlocal read_bytes
+        read_bytes += n
+        return data[at:at + n]
+    r = random.Random(top)
+    for i in [0, 511, 512, 19_999, *[r.randrange(20_000) for _ in range(300)]]:
+        read_bytes = 0
+        assert read_token(read, 0, i) == ids[i]
+        assert read_bytes < 4 * 90
+
+
+def test_tokens_are_addressable_in_the_files(spark, tok, tmp_path):
+    docs = [(i, " ".join(f"word{(i * 7 + k) % 901} ÜBER" for k in range(i % 90))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        write_tokens(df, path, PATH, segment_tokens=900)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = [t for _, text in docs for t in [*tok.encode(text, add_special_tokens=False).ids, 2]]
+    store = TokenStore(spark, path)
+    assert store.segments.count() > 20 and store.segments.select("file").distinct().count() > 1
+    r = random.Random(1)
+    for position in [0, len(want) - 1, *[r.randrange(len(want)) for _ in range(25)]]:
+        assert store.token_at(position) == want[position]
+    before = store.bytes_read
+    places = [r.randrange(len(want)) for _ in range(10)]
+    assert [store.token_at(p) for p in places] == [want[p] for p in places]
+    assert store.bytes_read - before < 10 * 360
+    with pytest.raises(IndexError):
+        store.token_at(len(want))
+
+
+def test_batches_and_segments_of_any_size(spark, tok, monkeypatch):
+    df = awkward(spark).repartition(2)
+    want = sorted(str((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in token_output(df, PATH).collect())
+    for segment_tokens in (1, 7, 10**9):
+        got = token_output(df, PATH, segment_tokens=segment_tokens)
+        assert sorted(str((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in got.collect()) == want
+    import pyarrow as pa
+    texts = pa.array(["a" * 10, None, "b" * 3, "", "c" * 99])
+    monkeypatch.setattr(T, "BATCH_BYTES", 12)
+    assert list(T._slices(texts)) == [(0, 2), (2, 4), (4, 5)]
