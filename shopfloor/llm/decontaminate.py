@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast set of benchmark n-grams against every training window.
 
 Benchmark texts become windows of ``n`` consecutive words (a shorter text is one window).
-The distinct windows, keyed by a hash of their first words, are the hash set; documents are
-scanned position by position in one map-only pass, a position whose key is in the set is
-verified against the window's full wording inside the same join, and only verified hits
-leave the pass. Hits are then aggregated per document.
+The distinct windows, keyed by a hash of their whole wording, are the hash set. Documents are scanned
+position by position in one map-only pass: a position whose first words begin no window (a second, smaller
+set, one entry per beginning) is done; for the others the whole window is hashed once per window length,
+looked up, and verified by its wording. However many windows begin alike, a position costs one lookup per
+length. Only verified hits leave the pass; they are then aggregated per document.
 
 The set is broadcast in blocks of at most ``block_bytes`` (measured before the scan). A
 larger benchmark is scanned in several blocks whose hits are united, so no size drops a
@@ -78,10 +79,15 @@ def window_hits(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame,
     out = []
     for b in range(blocks):
         block = grams.where(F.pmod("wid", F.lit(blocks)) == b) if blocks > 1 else grams
-        w = F.broadcast(block.select(F.col("key").alias("wkey"), "len", "gram", "wid"))
-        same = (F.col("key") == F.col("wkey")) & (
-            F.array_join(F.slice("ws", F.col("pos") + 1, F.col("len")), " ") == F.col("gram"))
-        hit = scan.join(w, same, "left").where(F.col("gram").isNotNull() | ((F.col("pos") == -1) & F.lit(b == 0)))
+        starts = block.groupBy(F.col("key").alias("start")).agg(F.sort_array(F.collect_set("len")).alias("lens"))
+        begun = scan.join(F.broadcast(starts), F.col("key") == F.col("start"), "left") \
+            .where(F.col("lens").isNotNull() | ((F.col("pos") == -1) & F.lit(b == 0))) \
+            .select("id", "row", "h", "ws", "pos", F.explode_outer("lens").alias("len"))
+        wording = F.array_join(F.slice("ws", F.col("pos") + 1, F.col("len")), " ")
+        begun = begun.withColumn("whole", F.when(F.col("pos") >= 0, F.xxhash64(wording)))
+        w = F.broadcast(block.select(F.xxhash64("gram").alias("wkey"), F.col("len").alias("wlen"), "gram", "wid"))
+        same = (F.col("whole") == F.col("wkey")) & (F.col("len") == F.col("wlen")) & (wording == F.col("gram"))
+        hit = begun.join(w, same, "left").where(F.col("gram").isNotNull() | (F.col("pos") == -1))
         out.append(hit.select("id", "row", "h", F.size("ws").alias("n_words"), "pos", "len", "wid"))
     return reduce(DataFrame.unionByName, out)
 

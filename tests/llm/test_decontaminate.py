@@ -76,3 +76,13 @@ def test_windows_and_scan_are_join_free_of_products(spark):
     plan = window_hits(awkward(spark), "doc_id", "text", benchmark_windows(bench, "item_id", "text", 13)) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_many_windows_with_one_beginning(spark):
+    """Question benchmarks begin alike: every position with that beginning is looked up by its whole wording."""
+    same = [(k, "which of the " + prose(1000 + k, 12)) for k in range(300)] + [(900, "which of the"), (901, "which of")]
+    docs = [(k, "so which of the " + prose(1000 + 3 * k, 12) + " which of the which of the rest " + prose(k, 9)) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(same, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(df, bench).collect()}
+    assert got == {i: brute(t, same) for i, t in docs}
