@@ -12,7 +12,8 @@ hashed by CRC-32 (dampened counts, unit length); the byte distribution (square r
 share of distinct words and a constant. Whole texts are read, word by word.
 
 Fitting takes at most ``max_train`` rated documents, those with the smallest hash of their id
-(TRAIN_DOCS, a documented bound on the sample, the same at every table size). Their features
+(TRAIN_DOCS, a documented bound on the sample, the same at every table size); of rows that repeat an id the
+smallest text stands for all, reduced to it before any row moves. Their features
 are made in parallel; one task with this bounded sample runs adaptive stochastic gradients
 in a fixed order, so reruns agree. Scoring is one map-only pass with the weights broadcast
 (1 MB).
@@ -156,10 +157,9 @@ def _fit_task(grades: int, epochs: int):
     return run
 
 
-def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          grade_col: str = "grade", grades: int = 3, max_train: int = TRAIN_DOCS,
-          epochs: int = EPOCHS) -> CumulativeLink | None:
-    """Fit on the ``max_train`` rated documents with the smallest id hash."""
+def training_rows(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, grades: int,
+                  max_train: int) -> DataFrame:
+    """(order, grade, text) of at most ``max_train`` rated documents, those with the smallest id hash."""
     rated = ratings.select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("_grade")) \
         .where(F.col("_id").isNotNull() & F.col("_grade").between(0, grades - 1)) \
         .distinct().withColumn("_order", F.xxhash64("_id"))
@@ -170,7 +170,15 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     sample = rated.orderBy("_order", "_id", "_grade").limit(max_train)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("_text"))
     joined = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most max_train rows
-    made = joined.select("_order", "_grade", "_text").mapInArrow(
+    single = joined.groupBy("_order", "_id", "_grade").agg(F.min("_text").alias("text"))  # rows may repeat an id
+    return single.select(F.col("_order").alias("order"), F.col("_grade").alias("grade"), "text")
+
+
+def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          grade_col: str = "grade", grades: int = 3, max_train: int = TRAIN_DOCS,
+          epochs: int = EPOCHS) -> CumulativeLink | None:
+    """Fit on the ``max_train`` rated documents with the smallest id hash."""
+    made = training_rows(docs, ratings, id_col, text_col, grade_col, grades, max_train).mapInArrow(
         _featurize, "order bigint, grade int, index array<int>, value array<float>")
     row = made.repartition(1).mapInArrow(_fit_task(grades, epochs), "w binary, th binary, cut double").first()
     return row and CumulativeLink(np.frombuffer(row["w"], "<f4"), np.frombuffer(row["th"], "<f8"), row["cut"])
