@@ -70,8 +70,8 @@ def measure_texts(df: DataFrame, id_col: str, text_col: str, part_col: str) -> D
 
 def mark_duplicates(measured: DataFrame) -> DataFrame:
     """``measured`` plus ``duplicate``: a smaller id has the same text."""
-    shared = measured.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n") > 1).drop("n")
+    shared = materialize(measured.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+                         .where(F.col("n") > 1).drop("n"), "audit-duplicates")
     return measured.join(shared, ["digest", "bytes"], "left") \
         .withColumn("duplicate", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first")
 
