@@ -7,14 +7,16 @@ row plan stays a plain projection.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.functions.constants import CleaningParams
-from shopfloor.operators.positions import running_totals
-from shopfloor.session import materialize
+from shopfloor.operators.quantiles import sketch_columns, values_at
+
+QUARTILES = (0.25, 0.75)
 
 
 def null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -22,69 +24,54 @@ def null_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"nulls_{c}") for c in cols])
 
 
-def column_histograms(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col, value, cnt) with value NULL counting the missing entries."""
-    melted = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("m")).select("m.col", "m.value")
-    return melted.groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def _at_ranks(totals: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (col, p, q) from (col, value, cnt, before, total).
-
-    With n values sorted, q(p) = v[lo] + (v[hi] - v[lo]) * (pos - lo) where pos = (n-1)p.
-    """
-    x = totals.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    x = x.withColumn("_pos", (F.col("total") - 1) * F.col("p")) \
-        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-
-    def covers(rank: Column) -> Column:
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("cnt"))
-
-    x = x.where(covers(F.col("_lo")) | covers(F.col("_hi")))
-    q = x.groupBy("col", "p").agg(
-        F.max(F.when(covers(F.col("_lo")), F.col("value"))).alias("_vlo"),
-        F.max(F.when(covers(F.col("_hi")), F.col("value"))).alias("_vhi"),
-        F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
-    return q.select("col", "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
-                                 * (F.col("_pos") - F.col("_lo"))).alias("q"))
-
-
 def fit_stats(df: DataFrame, params: CleaningParams = CleaningParams()) -> dict:
     """Null counts and medians of every sensor, quartiles and caps of the capped sensors after
     imputation: ``nulls_c``, ``med_c``, ``q1_c``, ``q3_c``, ``lo_c``, ``hi_c``.
 
-    One scan makes the (column, value) histogram with map-side counts; running totals over its
-    range-partitioned rows give every rank, so no task holds a column or the histogram. The
-    imputed column is the same histogram plus ``nulls`` copies of the median: ranks of the
-    values from the median on move up by that many. About 20 numbers come to the driver."""
+    Quantiles interpolate: with n values, q(p) = v[lo] + (v[hi] - v[lo]) * (pos - lo) at pos = (n - 1) p. The
+    imputed column is the column with ``nulls`` more copies of its median: a rank there is a rank of the
+    column, the median, or a rank ``nulls`` lower. So all that is needed are a few exact ranks of each
+    column, found in two scans (``quantiles.values_at``)."""
     sensors, capped = list(params.sensors), list(params.capped)
-    hist = materialize(column_histograms(df, sensors), "histogram")
-    nulls = {r["col"]: r["cnt"] for r in hist.where(F.col("value").isNull()).collect()}  # one row per sensor
-    totals = materialize(running_totals(hist.where(F.col("value").isNotNull()), ["value"], ["cnt"], ["col"]).select(
-        "col", "value", "cnt", F.col("cnt_before").alias("before"), F.col("cnt_total").alias("total")), "ranks")
-    medians = {r["col"]: r["q"] for r in _at_ranks(totals, [0.5]).collect()}
-    stats = {f"nulls_{c}": int(nulls.get(c, 0)) for c in sensors} | {f"med_{c}": medians.get(c) for c in sensors}
-
-    gaps = [(c, medians[c], int(nulls[c])) for c in capped if nulls.get(c) and c in medians]
-    filled = totals.where(F.col("col").isin(capped))
-    if gaps:
-        gap = F.broadcast(df.sparkSession.createDataFrame(gaps, "col string, med double, cnt long"))  # one row per sensor
-        at = filled.join(gap.withColumnRenamed("cnt", "extra"), "col", "left").select(
-            "col", "value", "cnt", (F.col("before") + F.when(F.col("value") >= F.col("med"), F.col("extra")).otherwise(0))
-            .alias("before"), (F.col("total") + F.coalesce("extra", F.lit(0))).alias("total"))
-        below = filled.join(gap.withColumnRenamed("cnt", "extra"), "col").groupBy("col", "med", "extra").agg(
-            F.coalesce(F.sum(F.when(F.col("value") < F.col("med"), F.col("cnt"))), F.lit(0)).alias("before"),
-            F.max("total").alias("total"))
-        filled = at.unionByName(below.select("col", F.col("med").alias("value"), F.col("extra").alias("cnt"), "before",
-                                             (F.col("total") + F.col("extra")).alias("total")))
-    quart = {(r["col"], r["p"]): r["q"] for r in _at_ranks(filled, [0.25, 0.75]).collect()}
+    sketches = sketch_columns(df, list(dict.fromkeys([*sensors, *capped])))
+
+    def around(n: int, p: float) -> tuple[int, int, float]:
+        pos = (n - 1) * p
+        return math.floor(pos), math.ceil(pos), pos - math.floor(pos)
+
+    wanted = {}
+    for c, s in sketches.items():
+        ranks = {*around(s.n, 0.5)[:2]} if s.n else set()
+        if s.n and c in capped:
+            for p in QUARTILES:
+                ranks |= {r - shift for r in around(s.n + s.nulls, p)[:2] for shift in (0, s.nulls) if 0 <= r - shift < s.n}
+        wanted[c] = ranks
+    at = values_at(df, sketches, wanted)
+
+    stats: dict = {}
+    for c, s in sketches.items():
+        stats[f"nulls_{c}"], stats[f"med_{c}"] = s.nulls, None
+        if s.n:
+            lo, hi, part = around(s.n, 0.5)
+            low, high = at[c, lo], at[c, hi]
+            stats[f"med_{c}"] = low.value + (high.value - low.value) * part
     for c in capped:
-        q1, q3 = quart.get((c, 0.25)), quart.get((c, 0.75))
-        known = q1 is not None
-        stats |= {f"q1_{c}": q1, f"q3_{c}": q3, f"lo_{c}": q1 - (q3 - q1) * params.iqr_factor if known else None,
-                  f"hi_{c}": q3 + (q3 - q1) * params.iqr_factor if known else None}
+        s, med = sketches[c], stats[f"med_{c}"]
+        stats |= {f"{k}_{c}": None for k in ("q1", "q3", "lo", "hi")}
+        if not s.n:
+            continue
+        low = at[c, around(s.n, 0.5)[0]]
+        first, last = (low.before, low.before + low.count) if low.value == med else (low.before + low.count,) * 2
+
+        def filled(r: int) -> float:
+            """The value at rank r of the imputed column: ``nulls`` more copies of the median from ``first`` on."""
+            if r < first:
+                return at[c, r].value
+            return med if r < last + s.nulls else at[c, r - s.nulls].value
+
+        q1, q3 = (filled(lo) + (filled(hi) - filled(lo)) * part for lo, hi, part in (around(s.n + s.nulls, p) for p in QUARTILES))
+        stats |= {f"q1_{c}": q1, f"q3_{c}": q3, f"lo_{c}": q1 - (q3 - q1) * params.iqr_factor,
+                  f"hi_{c}": q3 + (q3 - q1) * params.iqr_factor}
     return stats
 
 

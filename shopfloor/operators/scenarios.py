@@ -27,12 +27,22 @@ def _row(sid: str, name: str, desc: str, downtime: Column, units: Column, risk:
         F.round(loss, 2).alias("estimated_financial_loss"), level.alias("risk_level"))
 
 
+def row_costs(**columns: str) -> PlantCosts:
+    """Costs read from columns of the row (field name -> column); the other fields keep their defaults."""
+    return PlantCosts(**{field: F.col(c) for field, c in columns.items()})
+
+
+def _value(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
 def scenario_array(prob: str | Column, c: PlantCosts = PlantCosts()) -> Column:
-    """Array of the 4 scenario structs for failure probability ``prob``."""
+    """Array of the 4 scenario structs for failure probability ``prob``. The costs are numbers, or columns
+    (``row_costs``) where they differ from row to row."""
     p = F.col(prob) if isinstance(prob, str) else prob
     (i1, n1, d1), (i2, n2, d2), (i3, n3, d3), (i4, n4, d4) = K.SCENARIOS
     # 1 continue: expected breakdown midway through the shift
-    down1 = F.lit(c.shift_hours) * p * K.CONTINUE_DOWNTIME_FACTOR
+    down1 = _value(c.shift_hours) * p * K.CONTINUE_DOWNTIME_FACTOR
     units1 = down1 * c.hourly_rate
     loss1 = units1 * c.unit_revenue + p * c.failure_cost
     lvl1 = F.when(p > K.CONTINUE_CRITICAL_ABOVE, F.lit("CRITICAL")).otherwise(F.lit("HIGH"))
@@ -44,17 +54,17 @@ def scenario_array(prob: str | Column, c: PlantCosts = PlantCosts()) -> Column:
     reduced = c.hourly_rate * K.REDUCED_RATE_FACTOR
     units3 = (c.hourly_rate - reduced) * c.shift_hours
     risk3 = p * K.REDUCED_RISK_FACTOR
-    loss3 = F.lit(units3 * c.unit_revenue) + risk3 * c.failure_cost
+    loss3 = _value(units3 * c.unit_revenue) + risk3 * c.failure_cost
     # 4 reroute (constant)
     down4 = K.REROUTE_SETUP_HOURS
     units4 = down4 * c.hourly_rate + (c.hourly_rate - c.hourly_rate * K.REROUTE_RATE_FACTOR) * (c.shift_hours - down4)
     loss4 = units4 * c.unit_revenue + K.REROUTE_RESIDUAL_RISK * c.failure_cost + K.REROUTE_SETUP_COST
     return F.array(
         _row(i1, n1, d1, down1, F.floor(units1), p, loss1, lvl1),
-        _row(i2, n2, d2, F.lit(down2), F.lit(int(units2)), F.lit(K.SHUTDOWN_RESIDUAL_RISK), F.lit(loss2),
+        _row(i2, n2, d2, F.lit(down2), _value(units2), F.lit(K.SHUTDOWN_RESIDUAL_RISK), _value(loss2),
              F.lit("LOW")),
-        _row(i3, n3, d3, F.lit(0.0), F.lit(int(units3)), risk3, loss3, F.lit("MODERATE")),
-        _row(i4, n4, d4, F.lit(down4), F.lit(int(units4)), F.lit(K.REROUTE_RESIDUAL_RISK), F.lit(loss4),
+        _row(i3, n3, d3, F.lit(0.0), _value(units3), risk3, loss3, F.lit("MODERATE")),
+        _row(i4, n4, d4, F.lit(down4), _value(units4), F.lit(K.REROUTE_RESIDUAL_RISK), _value(loss4),
              F.lit("LOW")),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions import constants as K
 from shopfloor.functions import rules as R
 from shopfloor.functions.constants import PlantCosts
+from shopfloor.operators import asof
 from shopfloor.operators import scenarios as SC
 from shopfloor.plans import sqltext as S
 from shopfloor.plans.registry import register, round_doubles
@@ -109,3 +110,34 @@ def q_inline(spark, sf_dir):
     """The scenario table as literal rows, expanded over every reading and aggregated."""
     return round_doubles(_all(spark, sf_dir).groupBy("name").agg(
         F.count(F.lit(1)).alias("n_readings"), F.round(F.sum("estimated_financial_loss"), 2).alias("total_loss")))
+
+
+_MACHINE_COSTS = S.with_ctes(S.READINGS, f"""cp AS (
+  SELECT {S._machine('s_suppkey', 's_suppkey')} AS machine_id, TIMESTAMP '2024-01-01' AS a, TIMESTAMP '2024-01-15' AS b,
+    100.0 + s_suppkey % 50 AS rate, 40.0 + s_nationkey AS revenue, NULL AS failure FROM supplier
+  UNION ALL SELECT {S._machine('s_suppkey', 's_suppkey')}, TIMESTAMP '2024-01-15',
+    CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2024-01-25' END, 80.0 + s_suppkey % 90, 45.0, 9000.0 + s_suppkey * 10 FROM supplier),
+s AS (SELECT r.event_id, {S.dashboard_risk_sql()} AS p, CAST(coalesce(rate, {_C.hourly_rate}) AS DOUBLE) AS rate,
+    CAST(coalesce(revenue, {_C.unit_revenue}) AS DOUBLE) AS revenue, CAST(coalesce(failure, {_C.failure_cost}) AS DOUBLE) AS failure
+  FROM readings r LEFT JOIN cp ON cp.machine_id = r.machine_id AND r.ts >= cp.a AND (cp.b IS NULL OR r.ts < cp.b)),
+u AS (SELECT *, CAST({_C.shift_hours} AS DOUBLE) * p * CAST({K.CONTINUE_DOWNTIME_FACTOR} AS DOUBLE) * rate AS u1,
+    CAST({K.SHUTDOWN_HOURS} AS DOUBLE) * rate AS u2,
+    (rate - rate * CAST({K.REDUCED_RATE_FACTOR} AS DOUBLE)) * CAST({_C.shift_hours} AS DOUBLE) AS u3,
+    CAST({K.REROUTE_SETUP_HOURS} AS DOUBLE) * rate + (rate - rate * CAST({K.REROUTE_RATE_FACTOR} AS DOUBLE))
+      * CAST({_C.shift_hours - K.REROUTE_SETUP_HOURS} AS DOUBLE) AS u4 FROM s),
+l AS (SELECT event_id, unnest(['{"', '".join(x[0] for x in K.SCENARIOS)}']) AS scenario_id,
+    unnest([u1 * revenue + p * failure,
+      u2 * revenue + CAST({K.SHUTDOWN_HOURS * _C.maintenance_per_hour} AS DOUBLE) + CAST({K.SHUTDOWN_RESIDUAL_RISK} AS DOUBLE) * failure,
+      u3 * revenue + p * CAST({K.REDUCED_RISK_FACTOR} AS DOUBLE) * failure,
+      u4 * revenue + CAST({K.REROUTE_RESIDUAL_RISK} AS DOUBLE) * failure + CAST({K.REROUTE_SETUP_COST} AS DOUBLE)]) AS loss FROM u)
+SELECT event_id, scenario_id, round(loss, 2) AS estimated_financial_loss FROM l""")
+
+
+@register("sc_machine_costs", _MACHINE_COSTS)
+def q_machine_costs(spark, sf_dir):
+    """Scenario losses with the cost parameters that held for the machine when the reading was taken."""
+    fields = ["hourly_rate", "unit_revenue", "failure_cost"]
+    r = B.readings(spark, sf_dir).select("event_id", "machine_id", "ts", R.dashboard_risk("temperature", "vibration", "pressure").alias("p"))
+    costed = asof.as_of_join(r, B.cost_parameters(spark, sf_dir), "machine_id", "ts", {f: getattr(_C, f) for f in fields})
+    return round_doubles(SC.scenarios(costed, "p", ["event_id"], SC.row_costs(**{f: f for f in fields}))
+                         .select("event_id", "scenario_id", "estimated_financial_loss"))

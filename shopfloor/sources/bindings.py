@@ -121,6 +121,20 @@ def readings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     )
 
 
+def cost_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost parameters of the machines that suppliers keep, with the time they hold: rates from the start of 2024,
+    other ones from the 15th on, which end on the 25th for every fifth supplier."""
+    s = table(spark, sf_dir, "supplier")
+    first = F.struct(F.lit("2024-01-01").alias("a"), F.lit("2024-01-15").alias("b"), (F.lit(100.0) + F.col("s_suppkey") % 50).alias("rate"),
+                     (F.lit(40.0) + F.col("s_nationkey")).alias("revenue"), F.lit(None).cast("double").alias("failure"))
+    then = F.struct(F.lit("2024-01-15").alias("a"), F.when(F.col("s_suppkey") % 5 == 0, "2024-01-25").alias("b"),
+                    (F.lit(80.0) + F.col("s_suppkey") % 90).alias("rate"), F.lit(45.0).alias("revenue"),
+                    (F.lit(9000.0) + F.col("s_suppkey") * 10).alias("failure"))
+    return s.select(machine_name(F.col("s_suppkey"), F.col("s_suppkey")).alias("machine_id"), F.explode(F.array(first, then)).alias("p")) \
+        .select("machine_id", F.col("p.a").cast("timestamp").alias("valid_from"), F.col("p.b").cast("timestamp").alias("valid_to"),
+                F.col("p.rate").alias("hourly_rate"), F.col("p.revenue").alias("unit_revenue"), F.col("p.failure").alias("failure_cost"))
+
+
 def decisions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Supervisor decisions: purchase -> APPROVE, error -> REJECT, signup -> MODIFY,
     view -> ESCALATE (not a valid decision type). A decision reviews the reading event
