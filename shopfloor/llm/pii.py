@@ -2,9 +2,14 @@
 
 Seeds are the matches of four fixed patterns (email, ip, card, phone) in the whole text.
 Bootstrapping: every seed and every other identifier-like token (a run of non-spaces with a
-digit or an at sign) is a *mention* with the words before it as its lexical pattern. So is every
+digit or an at sign) is a *mention*. So is every
 run of digit groups with spaces (``RUN``) of 7 to 19 digits; the tokens inside it do not count a second time as
 mentions, and are reported only if the run is not.
+A mention induces up to five lexical patterns from its neighbours: the two words before it, the word before it, the two
+words after it, the word after it, and the words on both sides. Words are lower-cased, without marks at their ends, digits
+shown as 0; the start and end of the text and another mention count as words of their own in the two-word
+patterns. A word is compared by its ``context_chars`` characters nearest to the mention. All but the
+first kind are general and need ``min_variety`` different words beyond them around seeds, or they are not used.
 Mentions form a bipartite graph pattern - instance, which is scored in rounds until no pattern becomes
 trusted and no score moves by more than ``tolerance`` (``rounds`` is a guard: reaching it is a warning):
 
@@ -35,7 +40,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfloor.llm.text import ascii_lower, prefix_sums
+from shopfloor.llm.text import ascii_lower, let, prefix_sums
 from shopfloor.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -66,9 +71,9 @@ class Bootstrap:
     rounds: int = 50
     tolerance: float = 1e-3
     context_chars: int = 80
-    context_words: int = 2
     min_score: float = 0.6
     min_support: int = 3
+    min_variety: int = 3
     min_confidence: float = 0.6
 
 
@@ -97,13 +102,18 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def raw_matches(df: DataFrame, id_col: str, text_col: str, p: Bootstrap) -> DataFrame:
-    """(id, row, and for each kind, for mentions and for spaced digit runs: values, piece lengths, contexts), from
-    one pass over the texts. Only texts that can match pay for a regex."""
-    def context(piece: Column) -> Column:
-        words = F.filter(F.split(ascii_lower(F.right(piece, F.lit(p.context_chars))), r"[\x20\x09-\x0D]+"),
-                         lambda w: w != "")
-        return F.array_join(F.slice(words, F.greatest(F.size(words) - p.context_words, F.lit(0)) + 1,
-                                    p.context_words), " ")
+    """(id, row, and for each kind, for mentions and for spaced digit runs: values, and the length, last and
+    first words of every piece between them), from one pass over the texts. Only texts that can match pay for a regex."""
+    def words(part: Column) -> Column:
+        bare = F.transform(F.split(ascii_lower(part), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(
+            F.regexp_replace(w, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", ""), "[0-9]", "0"))
+        return F.filter(bare, lambda w: w != "")
+
+    def tail(piece: Column) -> Column:
+        return let(words(F.right(piece, F.lit(p.context_chars))), lambda w: F.slice(w, F.greatest(F.size(w) - 2, F.lit(0)) + 1, 2))
+
+    def head(piece: Column) -> Column:
+        return F.slice(words(F.left(piece, F.lit(p.context_chars))), 1, 2)
 
     out = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -113,13 +123,37 @@ def raw_matches(df: DataFrame, id_col: str, text_col: str, p: Bootstrap) -> Data
         values = F.when(maybe, F.regexp_extract_all("t", F.lit(rx), 0))
         pieces = F.when(maybe, F.split("t", rx, -1))
         cols += [values.alias(f"{name}_v"), F.transform(pieces, lambda x: F.struct(
-            F.length(x).alias("len"), context(x).alias("ctx"))).alias(f"{name}_p")]
+            F.length(x).alias("len"), tail(x).alias("tail"), head(x).alias("head"))).alias(f"{name}_p")]
     return out.select("id", "row", *cols)
 
 
+def _span(k: int, n: Column, z: Column, i: Column) -> Column:
+    """Match i of n with its position and neighbours."""
+    left = F.concat(F.array(F.when(i == 0, "^").otherwise("#")), z["p"]["tail"])
+    right = F.concat(z["q"]["head"], F.array(F.when(i == n - 1, "$").otherwise("#")))
+    return F.struct(F.lit(k).alias("k"), z["s"].alias("start"), (z["s"] + F.length(z["v"])).alias("end"), z["v"].alias("value"),
+                    F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2).alias("left"), F.slice(right, 1, 2).alias("right"))
+
+
+def induced(left: Column, right: Column) -> Column:
+    """Array of (ctx, beyond): the patterns of a mention, and for general ones the word beyond them."""
+    def word(x: Column) -> Column:
+        return F.when(~x.isin("^", "$", "#"), x)
+
+    before, far = F.element_at(left, -1), F.when(F.size(left) == 2, F.get(left, 0))
+    after, beyond = F.get(right, 0), F.get(right, 1)
+    patterns = [("l2", F.concat_ws(" ", far, before), F.lit("")), ("l1", word(before), far), ("r2", F.concat_ws(" ", after, beyond), before),
+                ("r1", word(after), before), ("b", F.concat(word(before), F.lit(" _ "), word(after)), far)]
+    both = {"l2": F.size(left) == 2, "r2": F.size(right) == 2}
+    made = F.array(*[F.when(text.isNotNull() & both.get(kind, F.lit(True)), F.struct(
+        F.concat(F.lit(f"{kind} "), text).alias("ctx"), F.coalesce(other, F.lit("")).alias("beyond"))) for kind, text, other in patterns])
+    return F.filter(made, lambda x: x.isNotNull())
+
+
 def located(matches: DataFrame) -> DataFrame:
-    """(id, row, spans): spans = array of (kind no, start, end, value, ctx) of all base
-    matches that pass their check, and mentions as kind no 4, spaced digit runs as kind no 5."""
+    """(id, row, spans): spans = array of (kind no, start, end, value, left, right) of all base
+    matches that pass their check, and mentions as kind no 4, spaced digit runs as kind no 5. left and right: the two
+    words on either side, ^ and $ for the ends of the text, # for the match before or after."""
     df = matches
     names = [*KINDS, "mention", "run"]
     for name in names:  # piece and match lengths alternate: p0 m0 p1 m1 ... p_n
@@ -132,9 +166,8 @@ def located(matches: DataFrame) -> DataFrame:
         at = prefix_sums(F.col(f"{name}_l"))
         found = F.transform(F.arrays_zip(
             F.col(f"{name}_v").alias("v"), F.slice(f"{name}_p", 1, F.size(f"{name}_v")).alias("p"),
-            F.filter(at, lambda _, i: i % 2 == 1).alias("s")),
-            lambda z: F.struct(F.lit(k).alias("k"), z["s"].alias("start"), (z["s"] + F.length(z["v"])).alias("end"),
-                               z["v"].alias("value"), z["p"]["ctx"].alias("ctx")))
+            F.slice(f"{name}_p", 2, F.size(f"{name}_v")).alias("q"), F.filter(at, lambda _, i: i % 2 == 1).alias("s")),
+            functools.partial(_span, k, F.size(f"{name}_v")))
         found = F.filter(found, lambda s: s["value"].isNotNull())
         if name in KINDS:
             check = functools.partial(valid, name)
@@ -142,7 +175,7 @@ def located(matches: DataFrame) -> DataFrame:
         if name == "run":
             found = F.filter(found, lambda s: s["value"].contains(" ") & F.length(_digits(s["value"])).between(*RUN_DIGITS))
         spans.append(F.coalesce(found, F.array().cast(
-            "array<struct<k:int,start:bigint,end:bigint,value:string,ctx:string>>")))
+            "array<struct<k:int,start:bigint,end:bigint,value:string,left:array<string>,right:array<string>>>")))
     return df.select("id", "row", F.concat(*spans[:-2]).alias("base"), F.concat(*spans[-2:]).alias("mentions"))
 
 
@@ -179,10 +212,15 @@ def free_mentions(found: DataFrame) -> DataFrame:
 
 
 def bootstrap(mentions: DataFrame, p: Bootstrap) -> DataFrame:
-    """Score the pattern-instance graph. mentions: (ctx, inst, kind no or null for unknown, weight).
+    """Score the pattern-instance graph. mentions: (ctx, beyond, inst, kind no or null for unknown, weight).
     Returns (ctx, kind, inst, confidence) of the trusted pattern edges."""
-    edges = materialize(mentions.where(F.col("ctx") != "").groupBy("ctx", "inst", "kind")
-                        .agg(F.sum("weight").alias("n")), "pii-edges")
+    usable = mentions.where(F.col("kind").isNotNull()).select("ctx", "beyond").distinct().groupBy("ctx") \
+        .agg(F.count(F.lit(1)).alias("variety")) \
+        .where(F.col("ctx").startswith("l2 ") | (F.col("variety") >= p.min_variety)).select("ctx")
+    counted = materialize(mentions.groupBy("ctx", "inst", "kind").agg(F.sum("weight").alias("n")), "pii-mentions")
+    reached = counted.where(F.col("ctx").startswith("l2 ")).unionByName(
+        counted.where(~F.col("ctx").startswith("l2 ")).join(materialize(usable, "pii-general"), "ctx", "left_semi"))
+    edges = materialize(reached, "pii-edges")
     total = edges.groupBy("ctx").agg(F.sum("n").alias("total"))
     seeds = edges.where(F.col("kind").isNotNull()).select("inst", "kind").distinct() \
         .withColumn("confidence", F.lit(1.0))
@@ -225,14 +263,15 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     core = F.when(is_run, F.col("m.value")).otherwise(F.regexp_replace(behind, r"[^\p{L}\p{N}]++$", ""))
     lead = F.when(is_run, 0).otherwise(F.length("m.value") - F.length(behind))
     loose = free_mentions(found).select(
-        "row", (F.col("m.start") + lead).alias("start"), core.alias("value"), F.col("m.ctx").alias("ctx"),
-        "home", is_run.alias("is_run")) \
+        "row", (F.col("m.start") + lead).alias("start"), core.alias("value"),
+        F.explode(induced(F.col("m.left"), F.col("m.right"))).alias("_p"), "home", is_run.alias("is_run")) \
+        .withColumns({"ctx": F.col("_p.ctx"), "beyond": F.col("_p.beyond")}).drop("_p") \
         .where(F.col("value").rlike("[0-9@]"))
     seeds = found.select(F.explode("base").alias("m")).select(
-        F.col("m.ctx").alias("ctx"), ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"),
+        F.explode(induced(F.col("m.left"), F.col("m.right"))).alias("_p"), "m").select("_p.ctx", "_p.beyond", ascii_lower(F.col("m.value")).alias("inst"), F.col("m.k").alias("kind"),
         F.lit(1).alias("weight"))
     loose = loose.withColumn("inst", ascii_lower(F.col("value")))
-    mentions = seeds.unionByName(loose.select("ctx", "inst", F.lit(None).cast("int").alias("kind"),
+    mentions = seeds.unionByName(loose.select("ctx", "beyond", "inst", F.lit(None).cast("int").alias("kind"),
                                                    F.when(F.col("is_run") | F.col("home").isNull(), 1).otherwise(0).alias("weight")))
     accepted = bootstrap(mentions, params)
     digits, kind = _digits(F.col("value")), F.col("kind")

@@ -1,3 +1,4 @@
+import random
 import re
 import warnings
 
@@ -142,3 +143,44 @@ def test_regexes_are_linear_on_long_runs(spark, kind):
     text = {"email": "a" * 200_000, "ip": "1" * 200_000, "card": "1 " * 100_000, "phone": "+1" + "-" * 200_000}[kind]
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(F.size(F.regexp_extract_all("t", F.lit(REGEX[kind]), 0))).first()[0] == 0
+
+
+def test_planted_identifiers_recall_and_precision(spark):
+    """Identifiers that the base patterns miss, behind, before and between learnt words, at the start of texts, with
+    new words beyond them; numbers that are none, in words of their own and in the same shapes."""
+    r = random.Random(5)
+    near = ["my", "home", "office", "work", "new", "second", "old", "direct", "daily", "main"]
+    seeds, planted, others = [], [], []
+
+    def number(form="{}-{}-{}"):
+        return form.format(f"0{r.randrange(200, 999)}", r.randrange(100, 999), r.randrange(1000, 9999))
+
+    for k in range(300):
+        good = f"+1 (212) 555-{k:04d}"
+        seeds += [f"{r.choice(near)} tel: {good} thanks {k}", f"my {r.choice(near)} {good} is reachable until {r.choice(near)}",
+                  f"{r.choice(near)} +44 20 7946 {k:04d} reaches the desk", f"write ({r.choice(near)}) mail user{k}@site.org soon"]
+    fresh = ["brand", "spare", "backup", "summer"]
+    for k in range(40):
+        a, b, c = number(), number("{} {} {}"), number("({}) {}-{}")
+        planted += [(f"{r.choice(fresh)} TEL {a} and more", a), (f"{r.choice(near)} tel. {b}", b), (f"{a} reaches the desk", a),
+                    (f"in the {r.choice(fresh)} list {c} is reachable until noon", c)]
+        planted += [(f"{r.choice(fresh)} mail person{k}@intranet now", f"person{k}@intranet")]
+        others += [f"order {number()} shipped", f"see invoice {number('{}/{}/{}')} of {2000 + k}", f"{number()} units sold in May",
+                   f"part no {number('{} {} {}')} fits {r.choice(near)} model", f"version {k}.12.7 of build {r.randrange(10**8)}"]
+    texts = seeds + [t for t, _ in planted] + others
+    got = {x.doc_id: x for x in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = sum([e.value for e in got[i].extra] == [v] for i, (_, v) in enumerate(planted, len(seeds)))
+    false = sum(bool(got[i].extra) for i in range(len(seeds) + len(planted), len(texts)))
+    assert hits >= 0.9 * len(planted), hits
+    assert hits >= 0.9 * (hits + false), false
+    assert all(len(got[i].base) >= 1 for i in range(len(seeds)))
+
+
+def test_general_patterns_need_variety(spark):
+    """One word before a number is a pattern only where seeds show it behind different words."""
+    seen = [f"our {w} fax +1 (212) 555-{i:04d} x{i}" for i in range(40) for w in ["a", "b"][:1 + i % 2]]
+    df = [*seen, "her third fax 0212-555-9876 y"]
+    assert find_pii(spark.createDataFrame(list(enumerate(df)), "doc_id long, text string")).where(f"doc_id = {len(seen)}").first().extra == []
+    df = [*seen, "their c fax +1 (212) 555-9999 z", "her third fax 0212-555-9876 y"]
+    got = find_pii(spark.createDataFrame(list(enumerate(df)), "doc_id long, text string")).where(f"doc_id = {len(seen) + 1}").first()
+    assert [x.value for x in got.extra] == ["0212-555-9876"]
