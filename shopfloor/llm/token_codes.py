@@ -207,8 +207,12 @@ class Encoder:
     def __init__(self, tokenizer_json: str, table_tokens: int = TABLE_TOKENS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tok = Tokenizer.from_str(tokenizer_json)
+        # For words that are normalised already: the same model and byte table, split at spaces only.
+        self.plain_words = Tokenizer(self.tok.model)
+        self.plain_words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.young, self.old, self.table_tokens = Table(), Table(), table_tokens
         ends = np.zeros(self.tok.get_vocab_size(), bool)
         for word, i in self.tok.get_vocab().items():
@@ -219,16 +223,16 @@ class Encoder:
         found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only, in the form the tokenizer brings them to: a thousand in one string."""
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), 1000):
             some = words[a:a + 1000]
-            got = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            got = np.array(self.plain_words.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[got]) + 1
             size = np.diff(cuts, prepend=0)
             if len(cuts) != len(some) or (len(got) and cuts[-1] != len(got)):
-                got, size = self._each(some)
+                got, size = self._each([w.decode() for w in some])
             ids.append(got)
             lengths.append(size)
         return np.concatenate(ids), np.concatenate(lengths)
@@ -239,7 +243,7 @@ class Encoder:
         known = self.young.slot
         plain = [t for t in tokens if t.isalpha()]  # of bytes: ASCII letters only
         if plain:
-            self.young.add(plain, *self._words([t.decode() for t in plain]))
+            self.young.add(plain, *self._words(plain))
         rest = [t.decode() for t in tokens if not t.isalpha()]
         if not rest:
             return
@@ -249,10 +253,9 @@ class Encoder:
                  if "\u03a3" not in core  # str.lower makes a word-final one another letter than the tokenizer does
                  and (low := core.lower()).isalpha() and len(low) == len(core) and len(core) <= KEPT_LENGTH
                  and (normal or unicodedata.is_normalized("NFC", core))}
-        words = sorted({low for low, _ in apart.values()})
-        words = [w for w in words if w.encode() not in known]
+        words = sorted({low.encode() for low, _ in apart.values()}.difference(known))
         if words:
-            self.young.add([w.encode() for w in words], *self._words(words))
+            self.young.add(words, *self._words(words))
         others = sorted({*(p for p in rest if p not in apart and p.encode() not in known),
                          *(m for _, m in apart.values() if m and m.encode() not in known)})
         if others:
@@ -388,10 +391,9 @@ def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for row in b.to_pylist():
             seg, start, out = Segment(row["payload"]), 0, []
+            ids = seg.slice(0, len(seg)).astype("<u4")
             for doc, end in zip(row["doc_ids"], row["doc_ends"]):
-                ids = seg.slice(start, end)
-                out.append((doc, row["part"], row["first_token"] + start, end - start,
-                            zlib.crc32(ids.astype("<u4").tobytes())))
+                out.append((doc, row["part"], row["first_token"] + start, end - start, zlib.crc32(ids[start:end])))
                 start = end
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
