@@ -1,10 +1,18 @@
 """WARC archives with revisit resolution.
 
-Headers only (digest, length, id) are shuffled by payload digest to find, for every payload of
+Headers only (digest, length, id, url) are shuffled by payload digest to find, for every payload of
 at least ``min_bytes``, the original: the page with the largest id. Every other page
-of that digest becomes a revisit record whose fresh headers point to the original;
+of that digest becomes a revisit record whose fresh headers point to the original (id, URL and date);
 its payload is not written. Originals and pages below the size are response records.
 
+Payloads are never shuffled: revisit records are made from headers alone, and the scan that writes the
+responses must only know which pages to leave out. It learns that from a cascade of bitmap filters over
+hashes of (id, digest): the first holds all revisits, the second the responses that the first lets through by
+accident, the third the revisits that the second does, and so on until no accident is left. Since all pages are known,
+the cascade is exact. A filter has at most 2 ** MOST_BITS bits (32 MB), the bound of what is broadcast. Where
+accidents do not die out within ``MOST_FILTERS`` filters (more revisits than the bits can tell apart), the pages the
+last filter leaves open are joined with the headers instead.
+
 Archives are WARC/1.1 files, one record after another, written through Spark's text writer (one
 gzip file per task; the record separator is the line separator), so any store works and
 a lost task is only repeated. Reading them back is a stream per file: header
@@ -31,22 +39,81 @@ from shopfloor.session import checkpoint_dir, materialize
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+MOST_BITS = 28
+MOST_FILTERS = 8
 
 
-def resolve(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(id, url, html, bytes, sha1, original): original = id of the page a revisit points to,
-    null for responses."""
+def digested(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, html, bytes, sha1)."""
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                        F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    src = src.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha1("html").alias("sha1"))
-    heads = src.where(F.col("bytes") >= min_bytes).select("id", "bytes", "sha1")
-    first = heads.groupBy("sha1", "bytes").agg(F.max("id").alias("keep"), F.min("id").alias("least"),
-                                               F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"))
-    shared = first.where((F.col("keep") != F.col("least")) | ((F.col("n") > F.col("ids")) & (F.col("ids") > 0))) \
-        .select(F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"), "keep")
-    joined = src.join(shared, (F.col("sha1") == F.col("_sha1")) & (F.col("bytes") == F.col("_bytes")), "left")
-    return joined.select("id", "url", "html", "bytes", "sha1", F.when(
-        F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep")), F.col("keep")).alias("original"))
+    return src.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha1("html").alias("sha1"))
+
+
+def resolve_headers(heads: DataFrame, min_bytes: int) -> DataFrame:
+    """heads (id, url, bytes, sha1) of all pages -> the same plus original and original_url: the page that a
+    revisit points to, null for responses."""
+    first = heads.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(
+        F.max(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("keep"), F.min("id").alias("least"),
+        F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(first.where((F.col("keep.id") != F.col("least")) | ((F.col("n") > F.col("ids")) & (F.col("ids") > 0)))
+                         .select(F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"), "keep"), "warc-originals")
+    joined = heads.join(shared, (F.col("sha1") == F.col("_sha1")) & (F.col("bytes") == F.col("_bytes")), "left")
+    revisit = F.col("keep").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep.id"))
+    return joined.select("id", "url", "bytes", "sha1", F.when(revisit, F.col("keep.id")).alias("original"),
+                         F.when(revisit, F.col("keep.url")).alias("original_url"))
+
+
+def _spot(seed: int, bits: int) -> Column:
+    """The bit of a page (id, sha1) in the filter with this seed."""
+    return F.xxhash64(F.lit(seed), "id", "sha1").bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def bitmap_filter(keys: DataFrame, seed: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """((bucket, bitmap), bits) of the pages ``keys`` (id, sha1): 16 bits a page up to ``most_bits``."""
+    bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
+    spot = _spot(seed, bits)
+    made = keys.select(F.shiftright(spot, 15).alias(f"bucket{seed}"), spot.bitwiseAND(F.lit(32767)).alias("at")) \
+        .groupBy(f"bucket{seed}").agg(F.bitmap_construct_agg("at").alias(f"bitmap{seed}"))
+    return materialize(made, "warc-filter"), bits  # at most 2 ** (bits - 15) rows of 4 KB
+
+
+def passed(rows: DataFrame, filter_: DataFrame, seed: int, bits: int) -> DataFrame:
+    """``rows`` plus in<seed>: whether the filter has the page's bit."""
+    spot = _spot(seed, bits)
+    at = spot.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.col(f"bitmap{seed}"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), at.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
+    return rows.withColumn("_b", F.shiftright(spot, 15)).join(F.broadcast(filter_), F.col("_b") == F.col(f"bucket{seed}"), "left") \
+        .withColumn(f"in{seed}", F.coalesce(bit, F.lit(False))).drop("_b", f"bucket{seed}", f"bitmap{seed}")
+
+
+def leave_out_revisits(src: DataFrame, heads: DataFrame, most_bits: int = MOST_BITS, most_filters: int = MOST_FILTERS) -> DataFrame:
+    """The rows of ``src`` (id, sha1, ...) that are responses by ``heads`` (id, sha1, original), without moving ``src``."""
+    pages = heads.select("id", "sha1", F.col("original").isNotNull().alias("is_revisit")).distinct()
+    inside, others = pages.where("is_revisit"), pages.where(~F.col("is_revisit"))
+    filters = []
+    while len(filters) < most_filters and inside.limit(1).count():
+        seed = len(filters)
+        made, bits = bitmap_filter(inside, seed, most_bits)
+        filters.append((made, seed, bits))
+        through = materialize(passed(others, made, seed, bits).where(f"in{seed}").drop(f"in{seed}"), "warc-accidents")
+        inside, others = through, inside
+    open_ = bool(filters) and bool(inside.limit(1).count())
+    rows, response = src, F.lit(True)
+    for made, seed, bits in filters:
+        rows = passed(rows, made, seed, bits)
+    for _, seed, _ in reversed(filters):  # not in filter k: what filter k - 1 holds; in all: what the last one holds
+        last = seed + 1 == len(filters)
+        response = F.when(~F.col(f"in{seed}"), F.lit(seed % 2 == 0)).otherwise(
+            F.lit(seed % 2 == 1) if last else response)
+    if open_:
+        sure = rows.where(~F.expr(" AND ".join(f"in{s}" for _, s, _ in filters)))
+        unsure = rows.where(" AND ".join(f"in{s}" for _, s, _ in filters))
+        gone = pages.where("is_revisit").select(F.col("id").alias("_id"), F.col("sha1").alias("_sha1"))
+        exact = unsure.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left_anti")
+        return sure.where(response).select(*src.columns).unionByName(exact.select(*src.columns))
+    return rows.where(response).select(*src.columns)
 
 
 def record_id(page: Column, sha1: Column) -> Column:
@@ -64,7 +131,9 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
         text = F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
         return F.coalesce(text if when is None else F.when(when, text), F.lit(""))
 
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    def escaped(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, "\r", "%0D"), "\n", "%0A")
+
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
@@ -73,10 +142,12 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", record_id(F.col("id"), F.col("sha1"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", url),
+        line("WARC-Target-URI", escaped("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         line("WARC-Profile", F.lit(PROFILE), revisit),
         line("WARC-Refers-To", record_id(F.col("original"), F.col("sha1")), revisit),
+        line("WARC-Refers-To-Target-URI", escaped("original_url"), revisit),
+        line("WARC-Refers-To-Date", F.lit(date), revisit),
         line("X-Page-ID", F.col("id").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -85,8 +156,12 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", min_bytes: int = 1000, date: str = DATE) -> None:
-    resolved = resolve(pages, id_col, url_col, html_col, min_bytes)
-    records(resolved, date).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    src = digested(pages, id_col, url_col, html_col)
+    heads = materialize(resolve_headers(materialize(src.drop("html"), "warc-headers"), min_bytes), "warc-resolved")
+    responses = leave_out_revisits(src, heads).select("*", F.lit(None).cast("long").alias("original"),
+                                                      F.lit(None).cast("string").alias("original_url"))
+    revisits = heads.where(F.col("original").isNotNull()).withColumn("html", F.lit(""))
+    records(responses.unionByName(revisits), date).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 RECORD = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("refers", pa.string()),

@@ -1,8 +1,11 @@
+import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from shopfloor.llm.warc import dedup_archive, read_archives, write_archives
+from shopfloor.llm.warc import dedup_archive, leave_out_revisits, read_archives, write_archives
+from shopfloor.session import materialize
 
 SCHEMA = "page_id long, url string, html string, value string, anchor int"
 
@@ -52,6 +55,33 @@ def test_archive_contents(spark, tmp_path):
     assert written > 0
 
 
+def test_filter_cascade_is_exact(spark):
+    """Small filters let many pages through by accident; what is left out is exact all the same, and the pages
+    themselves never move while accidents die out."""
+    n = 30_000
+    heads = spark.range(n).selectExpr("id", "sha1(string(id % 21001)) as sha1", "CASE WHEN id % 3 = 0 THEN id + 1 END as original",
+                                      "string(id) as url")
+    heads = materialize(heads.unionByName(heads.where("id < 5").withColumn("id", F.lit(None).cast("long"))), "test-heads")
+    src = heads.drop("original").withColumn("html", F.lit("body"))
+    want = sorted(str(r.id) + r.url for r in heads.where("original IS NULL").collect())
+    for bits, filters in ((28, 8), (15, 12), (15, 1), (15, 2), (15, 3)):
+        out = leave_out_revisits(src, heads, bits, filters)
+        assert out.columns == src.columns
+        assert sorted(str(r.id) + r.url for r in out.collect()) == want
+        if filters >= 8:
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert leave_out_revisits(src, heads.withColumn("original", F.lit(None).cast("long"))).count() == n + 5
+
+
+def test_revisits_name_their_original(spark, tmp_path):
+    path = str(tmp_path / "w")
+    write_archives(pages(spark), path)
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    heads = [h for h in text.split(b"WARC/1.1\r\nWARC-Type: ") if h.startswith(b"revisit")]
+    one = next(h for h in heads if b"X-Page-ID: 1\r\n" in h)
+    assert b"WARC-Refers-To-Target-URI: http://a/9\r\n" in one and b"WARC-Refers-To-Date: " in one
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert dedup_archive(none).collect() == []
