@@ -147,17 +147,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: a large-star links every larger neighbour of a node to the least
     of its neighbourhood, a small-star does so for the smaller ones. Only minima are
-    grouped, so a node with many edges is aggregated before the shuffle. Ends when a
-    round changes nothing."""
+    grouped, so a node with many edges is aggregated before the shuffle; minima are stored before they
+    are joined back, so that both sides of the join are plain exchanges and adaptive execution can split the
+    rows of a hub. Ends when a round changes nothing."""
     shared_dir(edges.sparkSession)
     cur = edges.select("a", "b").checkpoint()
     before = None
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")).checkpoint()
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")) \
-            .select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u")
+            .select(F.col("m").alias("a"), "b").where("a <> b").distinct().checkpoint()
+        low = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u").checkpoint()
         small = large.join(low, F.col("b") == F.col("u")) \
             .select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")) \
             .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
@@ -177,7 +178,7 @@ def classify(df: DataFrame, id_col: str, text_col: str, shingle_words: int, max_
     comp = components(links(distinct, max_bits))
     rooted = materialize(distinct.join(comp, F.col("fp") == F.col("node"), "left")
                          .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
     return docs, materialize(rooted.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
@@ -202,8 +203,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.join(classes.select(F.col("fp").alias("_fp"), "root"), F.col("fp") == F.col("_fp")) \
         .groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("n"))
     rows = materialize(rows, "simhash-rows")
-    best = rows.groupBy(F.col("root").alias("_root")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best"))
+    best = materialize(rows.groupBy(F.col("root").alias("_root")).agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best")), "simhash-best")
     judged = rows.join(best, F.col("root") == F.col("_root")) \
         .withColumn("stays", F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.h") == F.col("h")))
     special = materialize(judged.where(~F.col("stays") | (F.col("n") > 1)).select(
