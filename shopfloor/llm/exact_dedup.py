@@ -5,7 +5,10 @@ are exchanged in binomial rounds: in round r all runs whose numbers agree above
 ``r * fan_in_bits`` meet, are merged by digest, and only the winning identifier and the
 count go on. A digest that fills a third of the table therefore shrinks to one row per run
 before the first exchange and to one row per merged run after each round; the rows of a
-round are spread over all tasks by (run, digest), so no task holds a whole run.
+round are spread over all tasks by (run, digest), so no task holds a whole run. What stands for the parts of
+the method in Spark: a run is the rows with one run number, wherever they lie; the exchange of a round is the
+shuffle by (run, digest); sorted order and multiway merge are Spark's sort-based aggregate, which sorts each
+task's rows by (run, digest) and folds equal digests of all runs that meet in one pass, keeping the verified best id.
 
 A digest match is verified by two further values that travel with it (the byte length and
 an independent 64-bit hash): rows only merge when SHA-256, length and hash all agree.
