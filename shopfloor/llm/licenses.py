@@ -1,17 +1,20 @@
 """License scans by conditional compression.
 
 Cue words locate the places: the words around a cue, ``1 + SPREAD`` times the longest template on both sides,
-are a region, and regions that touch are one. Every template is aligned with the words of a region
-by an exact dynamic program (template words may be missing, other words may be added), so line
+are a candidate block, and blocks that touch are one. A block is compressed alone and with every template as a
+raw zstandard dictionary, and templates are ranked by the bytes they save. They are confirmed by wording, best
+first; none is left out by its rank, since a short notice in a long block may save next to nothing there. The
+template is aligned with the words of the block by an exact dynamic program (template words may be missing, other words may be added), so line
 breaks, comment marks and sentences around a notice do not matter. An alignment that lacks few enough
-words, none of them with a digit, is compressed alone and with the template as a raw zstandard
-dictionary: the size saved is what the template explains. Where alignments overlap, the template
-that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words); the words left over are aligned again until no template is
-confirmed, so lists of licenses give one finding for each notice.
+words, none of them with a digit, is compressed again without the words around it: the share saved is what the
+template explains. Where alignments overlap, the template
+that saves most bytes is the finding (a missing word counts as ``LACKS`` bytes, or as as many added words); the words
+left over are a block again, until no template is confirmed, so lists of licenses give one finding for each notice.
 
 Words added to a notice are at most ``SPREAD`` times its own; templates of fewer than ``SHORT``
 words hold no foreign sentence start, and no version number is read across another number.
-The cue words occur in every template, also when wrapped (tested). The cost is linear in the words of the
+The cue words occur in every built-in template, also when wrapped (tested); a template given without one adds its
+rarest words as cues, one more than a notice may lack. The cost is linear in the words of the
 regions. Everything is one map-only pass.
 
 Defined results: null and empty texts have no findings. Positions are code points, end
@@ -60,6 +63,20 @@ def words_of(text: str) -> list[str]:
     return [WRAP.sub("", m) for m in WORD.findall(text.lower())]
 
 
+def cue_pattern(templates) -> str:
+    """The cue regex (alike in Python and Java) that holds for these templates."""
+    seen: dict[str, int] = {}
+    for _, text in templates:
+        for w in words_of(text):
+            seen[w] = seen.get(w, 0) + 1
+    extra = set()
+    for _, text in templates:
+        if not re.search(CUES, text):
+            words = sorted(set(words_of(text)), key=lambda w: (seen[w], -len(w), w))
+            extra.update(words[:int(MAX_MISSING * len(words_of(text))) + 1])
+    return "|".join([CUES, *(rf"\b{re.escape(w)}\b" for w in sorted(extra))])
+
+
 class Template:
     def __init__(self, name: str, text: str, vocabulary: dict[str, int]):
         import zstandard as zs
@@ -112,7 +129,7 @@ class Scanner:
         self.vocabulary: dict[str, int] = {}
         self.templates = [Template(name, text, self.vocabulary) for name, text in templates]
         self.reach = (1 + SPREAD) * max(len(t.words) for t in self.templates)
-        self.cue = re.compile(CUES)
+        self.cue = re.compile(cue_pattern(templates))
 
     def regions(self, text: str) -> Iterator[list[re.Match]]:
         """The words around the cues."""
@@ -144,7 +161,8 @@ class Scanner:
             rest = [(0, len(words))]
             while rest:
                 a, b = rest.pop()
-                taken = self._confirmed(text, words, ids, breaks, a, b)
+                ranked = self._ranked(text[words[a].start():words[b - 1].end()])
+                taken = self._confirmed(text, words, ids, breaks, a, b, ranked)
                 for t, start, end, lo, hi, saving in taken:
                     missing, added, wording = differences(t.words, plain[start:end])
                     out.append(Finding(lo, hi, t.name, round(saving, 4), len(missing), len(added), wording))
@@ -153,12 +171,18 @@ class Scanner:
                     rest += [(x, y) for x, y in zip(edges[::2], edges[1::2]) if x < y]
         return sorted(out, key=lambda f: f.start)
 
-    def _confirmed(self, text, words, ids, breaks, a: int, b: int) -> list[tuple]:
+    def _ranked(self, block: str) -> list[int]:
+        """Numbers of the templates, those that shorten the compressed block most first."""
+        data = WRAP.sub(" ", block).encode()
+        return [no for _, no in sorted((len(t.press.compress(data)), no) for no, t in enumerate(self.templates))]
+
+    def _confirmed(self, text, words, ids, breaks, a: int, b: int, ranked: list[int]) -> list[tuple]:
         """(template, first word, end word, start, end, saving) of notices among words a to b that do
         not overlap, in text order."""
         found = []
         present = set(ids[a:b].tolist())
-        for no, t in enumerate(self.templates):
+        for no in ranked:
+            t = self.templates[no]
             if not t.possible(present):
                 continue
             used = np.zeros(b - a, bool)
@@ -226,7 +250,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per finding: ``id_col``, license, start, end, saving (share of the compressed size
     that the template explains), n_missing, n_added, wording."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike(CUES)) \
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike(cue_pattern(templates))) \
         .mapInArrow(_scan(templates), f"id {kind}, license string, start bigint, end bigint, saving double, "
                                       "n_missing bigint, n_added bigint, wording string")
     return found.withColumnRenamed("id", id_col)

@@ -80,3 +80,45 @@ def test_every_notice_is_a_finding():
         == ["MIT", "Apache-2.0"]
     many = "Released under the MIT License.\n" * 300
     assert [many[f.start:f.end] for f in s.scan(many)] == ["Released under the MIT License."] * 300
+
+
+OWN = (*TEMPLATES, ("House-1.0", "Anyone may reuse these recipes freely provided the kitchen is named and no warranty of taste is implied."),
+       ("House-2.0", "Do whatever pleases you."))
+
+
+def test_templates_without_a_cue_word_bring_their_own(spark):
+    s = Scanner(OWN)
+    for name, text in OWN[-2:]:
+        assert [f.license for f in s.scan(f"Intro words.\n{text}\nEnd.")] == [name]
+        assert [f.license for f in s.scan(textwrap.fill(text, 30, initial_indent="# ", subsequent_indent="# "))] == [name]
+    lacking = OWN[-2][1].replace("recipes ", "")
+    assert [(f.license, f.missing) for f in s.scan(f"x {lacking} y")] == [("House-1.0", 1)]
+    df = spark.createDataFrame([(1, f"a {OWN[-1][1]} b"), (2, "nothing here")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in scan_licenses(df, templates=OWN).collect()] == [(1, "House-2.0")]
+
+
+def test_compression_ranks_the_right_template_first():
+    """In a block with words around the notice, the template of the notice saves most, or one that contains it."""
+    s = Scanner()
+    for no, (name, text) in enumerate(TEMPLATES):
+        ranked = s._ranked(f"We thank all who wrote to us. {text} The next part tells how to install it.")
+        assert TEMPLATES[ranked[0]][0] == name or text in TEMPLATES[ranked[0]][1] or ranked.index(no) <= 2, text
+        assert no in ranked
+
+
+def test_planted_notices_recall():
+    """Notices in comments, wrapped, with a word missing or added, between other words: all found, nothing else."""
+    import random
+    r, s = random.Random(7), Scanner()
+    hits = 0
+    for k in range(200):
+        name, text = r.choice(TEMPLATES)
+        words = text.split()
+        if len(words) > 20 and k % 2:
+            plain = [i for i, w in enumerate(words) if w.isalpha()]
+            del words[r.choice(plain)]
+        if k % 3 == 0:
+            words.insert(r.randrange(2, len(words) - 1), "gladly")
+        body = textwrap.fill(" ".join(words), r.choice([36, 60, 400]), initial_indent="// ", subsequent_indent="// ", break_long_words=False)
+        hits += [f.license for f in s.scan(f"int a = {k};\n{body}\nreturn a;\n" + "some other words " * r.randrange(40))] == [name]
+    assert hits >= 190
