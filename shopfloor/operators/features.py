@@ -57,11 +57,12 @@ def feature_names(windows: Sequence[int] = K.ROLLING_WINDOWS) -> list[str]:
 
 
 def engineer_features(raw: DataFrame, order: Sequence[str], params: CleaningParams = CleaningParams(),
-                      skew: SkewParams = SkewParams()) -> DataFrame:
+                      skew: SkewParams = SkewParams(), stats: dict | None = None) -> DataFrame:
     """Impute (global medians) -> cap (IQR of imputed values) -> per-machine rolling
     frames -> interactions -> forward/back fills. Rows without a machine drop
-    (they have no group), after the global statistics are taken."""
-    cleaned = impute_and_cap(raw, params).where(F.col("machine_id").isNotNull())
+    (they have no group), after the global statistics are taken. ``stats``: statistics fitted before, where ``raw``
+    holds some machines only."""
+    cleaned = impute_and_cap(raw, params, stats=stats).where(F.col("machine_id").isNotNull())
     lookback = max(params.windows) - 1
     feats = keyed_windows(cleaned, KEY, order, rolling_columns(params.windows), lookback,
                           fills=[("temp_lag_1", "temperature"), ("vib_lag_1", "vibration")], skew=skew)

@@ -6,6 +6,7 @@ least two letters/digits/underscores, lower-cased, minus an English stop list.
 
 Index, built once per corpus and stored in the shared folder:
 
+chunks    the sections themselves, so that manuals are split once
 vectors   (ids, terms: array of (term, tf)): chunks are partitioned by their ids once, so counting terms
           and collecting them needs no second exchange
 idf       (term, df, idf)
@@ -35,7 +36,6 @@ fill them up, the latest first.
 
 from __future__ import annotations
 
-import copy
 import functools
 import math
 
@@ -95,9 +95,10 @@ class TfidfIndex:
 
     def __init__(self, chunks: DataFrame, ids: list[str], text: str = "content", stop_words: bool = True,
                  n_docs: int | None = None):
-        self.ids, self.stop_words, self.chunks = ids, stop_words, chunks
-        self.n_docs = chunks.count() if n_docs is None else n_docs  # the fitted corpus size, a single number
-        counts = term_counts(chunks.select(*ids, text).repartition(*ids), ids, text, stop_words)
+        self.ids, self.stop_words = ids, stop_words
+        self.chunks = materialize(chunks.repartition(*ids), "tfidf-chunks")
+        self.n_docs = self.chunks.count() if n_docs is None else n_docs  # the fitted corpus size, a single number
+        counts = term_counts(self.chunks.select(*ids, text).repartition(*ids), ids, text, stop_words)
         self.vectors = materialize(counts.groupBy(*ids).agg(F.collect_list(F.struct("term", "tf")).alias("terms")), "tfidf-vectors")
         self.idf = materialize(idf_table(self.tf, ids, self.n_docs), "tfidf-idf")
         w = F.col("tf") * F.col("idf")
@@ -233,14 +234,13 @@ class TfidfIndex:
 _STORED: dict = {}
 
 
-def stored_index(chunks: DataFrame, ids: list[str], text: str = "content", stop_words: bool = True) -> TfidfIndex:
-    """The index of this corpus, built on first use in an application and kept by the corpus's content (row
-    count and sum of row hashes, one pass)."""
-    stamp = F.xxhash64(*ids, text).cast("decimal(38,0)")
-    seen = chunks.agg(F.count(F.lit(1)), F.sum(stamp)).first()
-    key = (chunks.sparkSession.sparkContext.applicationId, *ids, text, stop_words, *seen)
+def stored_index(chunks: DataFrame, ids: list[str], text: str = "content", stop_words: bool = True,
+                 corpus: DataFrame | None = None) -> TfidfIndex:
+    """The index of this corpus, built on first use in an application and kept by the content (row count and sum of
+    row hashes, one pass) of ``corpus``: what the chunks are made from, or the chunks themselves."""
+    corpus = chunks if corpus is None else corpus
+    seen = corpus.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*corpus.columns).cast("decimal(38,0)"))).first()
+    key = (corpus.sparkSession.sparkContext.applicationId, *chunks.columns, *ids, text, stop_words, *seen)
     if key not in _STORED:
-        _STORED[key] = TfidfIndex(chunks, ids, text, stop_words, seen[0])
-    kept = copy.copy(_STORED[key])
-    kept.chunks = chunks
-    return kept
+        _STORED[key] = TfidfIndex(chunks, ids, text, stop_words)
+    return _STORED[key]

@@ -149,6 +149,20 @@ def q_sequence(spark, sf_dir):
     return _sequence_metrics(spark, sf_dir)
 
 
+@register("m_recurrent")
+def q_recurrent(spark, sf_dir):
+    """Failure forecaster with a recurrent cell over the 12 preceding readings; F1 and ROC-AUC on the validation split."""
+    from shopfloor.operators import recurrent
+    data = split_frame(spark, sf_dir)
+    seq = materialize(FE.sequences(data, ["ts", "k1", "k2", "k3"], FEATURES, "label", 12, keep=["split"]), "sequence-rows")
+    model = recurrent.fit_recurrent(seq.where(F.col("split") == "train"), epochs=30)
+    if model is None:
+        return L.evaluate(seq.select(F.lit("Recurrent").alias("model"), "split", "label", F.lit(0).alias("pred"), F.lit(0.0).alias("score"))
+                          .where("false"), ["model", "split"])
+    pred = model.score(seq.where(F.col("split") == "val")).withColumn("model", F.lit("Recurrent"))
+    return L.evaluate(pred, ["model", "split"])
+
+
 @register("m_compare")
 def q_compare(spark, sf_dir):
     """Comparison table of measured test/val metrics of all models (no constants)."""

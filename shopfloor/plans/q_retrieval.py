@@ -15,7 +15,7 @@ PARAMS = K.RetrievalParams()
 
 
 def index(spark, sf_dir) -> RT.TfidfIndex:
-    return RT.stored_index(B.chunks(spark, sf_dir), IDS)
+    return RT.stored_index(B.chunks(spark, sf_dir), IDS, corpus=B.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def _stop_values() -> str:

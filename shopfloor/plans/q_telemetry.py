@@ -163,7 +163,9 @@ def q_true_lag(spark, sf_dir):
 SELECT {rsel(KEYS + S.FEATURE_COLUMNS, S.FEATURE_COLUMNS)} FROM features
 WHERE machine_id = 'MCH-02 Hydraulic Press #1'"""))
 def q_machine(spark, sf_dir):
-    f = featured(spark, sf_dir).where(F.col("machine_id") == F.lit("MCH-02 Hydraulic Press #1"))
+    """One machine's feature rows: statistics of all readings, but only that machine is read for the rest."""
+    stats = cleaning.fit_stats(B.telemetry(spark, sf_dir))
+    f = features.engineer_features(B.telemetry(spark, sf_dir, "MCH-02 Hydraulic Press #1"), ORDER, stats=stats)
     return round_doubles(f.select(*KEYS, *S.FEATURE_COLUMNS))
 
 

@@ -37,13 +37,17 @@ def machine_name(kind_key: Column, serial: Column) -> Column:
                     serial.cast("string"))
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, machine_id: str | None = None) -> DataFrame:
     """Sensor readings with injected sensor errors (999.0) and missing vibration.
 
     ``is_failure`` follows the threshold rule on the true (pre-error) values.
-    ``(machine_id, ts, k1, k2, k3)`` is unique.
+    ``(machine_id, ts, k1, k2, k3)`` is unique. With ``machine_id`` only that machine's readings, by its serial
+    number in the scan.
     """
     li = table(spark, sf_dir, "lineitem")
+    if machine_id is not None:
+        li = li.where(F.col("l_suppkey") == int(machine_id.rsplit("#", 1)[1])) \
+            .where(machine_name(F.col("l_suppkey"), F.col("l_suppkey")) == machine_id)
     true_temp = F.lit(50.0) + F.col("l_quantity")
     true_vib = F.lit(1.0) + F.col("l_discount") * 50
     label = ((true_temp > K.FAILURE_TEMPERATURE) | (true_vib > K.FAILURE_VIBRATION)).cast("int")
