@@ -88,3 +88,23 @@ def test_empty_corpus_and_queries(spark):
     ix = RT.TfidfIndex(chunks.where("false"), IDS)
     assert ix.top_k(queries, "query_id", "query").count() == 0
     assert RT.TfidfIndex(chunks, IDS).top_k(queries.where("false"), "query_id", "query").count() == 0
+
+
+def test_term_vectors_equal_counted_terms(spark):
+    """Repeated, null and missing ids, texts without terms and null texts; one pass where ids do not repeat."""
+    rows = [(1, 1, "alpha beta Alpha gamma"), (1, 2, "the and of"), (2, 1, "beta beta"), (2, 1, "beta delta"), (None, 1, "alpha"),
+            (None, 1, "alpha eps"), (3, None, "zeta"), (4, 1, ""), (5, 1, None), (6, 1, "zz aa zz mm aa zz")]
+    df = spark.createDataFrame(rows, "a int, b int, content string")
+    want = {(r.a, r.b, r.term): r.tf for r in RT.term_counts(df, ["a", "b"], "content").collect()}
+    got = RT.term_vectors(df, ["a", "b"], "content").select("a", "b", F.inline("terms")).collect()
+    assert {(r.a, r.b, r.term): r.tf for r in got} == want and len(got) == len(want)
+    once = RT.term_vectors(df.where("a > 3"), ["a", "b"], "content")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert once.schema["terms"].dataType == RT.term_vectors(df, ["a", "b"], "content").schema["terms"].dataType
+
+
+def test_index_builds_what_is_read(spark):
+    df = spark.createDataFrame([(k, 1, f"alpha term{k % 3} word{k}") for k in range(20)], "a int, b int, content string")
+    ix = RT.TfidfIndex(df, ["a", "b"])
+    assert ix.idf.count() == 24 and not {"norms", "blocks", "bounds"} & set(vars(ix))
+    assert ix.bounds.count() == 24 and "blocks" in vars(ix)
