@@ -36,3 +36,31 @@ def test_split_by_borders_equals_positions(spark):
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
     tiny = t.limit(1)
     assert [r.split for r in FE.with_split(tiny, order).collect()] == ["test"]
+
+
+def test_split_rows_are_stored(spark):
+    """Fits and scorings read the split rows many times: no reading may clean, shuffle and sort the telemetry again."""
+    rows = Q.split_frame(spark, SF_SMALL)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    assert rows.count() == B.telemetry(spark, SF_SMALL).where(F.col("machine_id").isNotNull()).count()
+
+
+def test_comparison_builds_its_rows_once(spark, monkeypatch):
+    calls, build = [], Q.split_frame
+    monkeypatch.setattr(Q, "split_frame", lambda *a: calls.append(a) or build(*a))
+    monkeypatch.setattr(L, "_MODELS", {})
+    monkeypatch.setattr(Q.L, "boosting", lambda: Q.L.GBTClassifier(featuresCol="features", labelCol="label", maxIter=2))
+    assert {r.model for r in Q.q_compare(spark, SF_SMALL).collect()} == {"RandomForest", "GradientBoosting", "SequenceMLP"}
+    assert len(calls) == 1
+
+
+def test_rows_are_scored_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        seen.add(1)
+        return x
+    rows = spark.createDataFrame([(f"{k % 2}", float(k % 2), k % 3 % 2, k / 40) for k in range(40)], "split string, label double, pred int, s double")
+    got = L.evaluate(rows.coalesce(1).withColumn("score", F.udf(score, "double")("s")), ["split"]).collect()
+    assert len(got) == 2 and seen.value == 40
