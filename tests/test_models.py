@@ -61,6 +61,6 @@ def test_rows_are_scored_once(spark):
     def score(x):
         seen.add(1)
         return x
-    rows = spark.createDataFrame([(f"{k % 2}", float(k % 2), k % 3 % 2, k / 40) for k in range(40)], "split string, label double, pred int, s double")
+    rows = spark.createDataFrame([(f"{k % 2}", float(k % 5 > 2), k % 3 % 2, k / 40) for k in range(40)], "split string, label double, pred int, s double")
     got = L.evaluate(rows.coalesce(1).withColumn("score", F.udf(score, "double")("s")), ["split"]).collect()
     assert len(got) == 2 and seen.value == 40
