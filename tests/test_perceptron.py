@@ -16,26 +16,27 @@ from shopfloor.operators import perceptron as P
 def test_gradient_equals_differences():
     rng = np.random.default_rng(1)
     sizes = [5, 4, 3, 2]
-    theta, x, y = rng.normal(size=24 + 15 + 8), rng.normal(size=(7, 5)), rng.integers(0, 2, 7)
-    g, _ = P.gradient(sizes, theta, x, y)
+    theta, x, y, w = rng.normal(size=24 + 15 + 8), rng.normal(size=(7, 5)), rng.integers(0, 2, 7), rng.uniform(1, 3, 7)
+    g, _ = P.gradient(sizes, theta, x, y, w)
     for i in range(len(theta)):
         e = np.zeros(len(theta))
         e[i] = 1e-6
-        slope = (P.gradient(sizes, theta + e, x, y)[1] - P.gradient(sizes, theta - e, x, y)[1]) / 2e-6
+        slope = (P.gradient(sizes, theta + e, x, y, w)[1] - P.gradient(sizes, theta - e, x, y, w)[1]) / 2e-6
         assert abs(g[i] - slope) < 1e-4 * max(1.0, abs(slope)), i
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    """1,024 rows in one partition: eight full stacks, so MLlib weighs every row alike, too. The last position has no spread."""
+    """The last position has no spread."""
     rng = np.random.default_rng(3)
     x = np.hstack((rng.normal(5, [1, 2, 30], size=(1024, 3)), np.full((1024, 1), 7.0)))
     y = (x[:, 0] * x[:, 1] + rng.normal(scale=2, size=1024) > 25).astype(float)
     return spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["raw", "label"]).coalesce(1).cache()
 
 
-@pytest.mark.parametrize("iterations", [1, 12])
-def test_weights_are_those_of_mllib(spark, rows, iterations):
+@pytest.mark.parametrize("iterations,n,partitions", [(1, 1024, 1), (12, 1024, 1), (12, 930, 4)])
+def test_weights_are_those_of_mllib(spark, rows, iterations, n, partitions):
+    rows = rows.limit(n).repartition(partitions).cache()  # of 930 rows, each partition ends with a smaller stack
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
     theirs = MultilayerPerceptronClassifier(layers=[4, 64, 32, 2], maxIter=iterations, seed=42, blockSize=128).fit(scaler.transform(rows))
     model = L.sequence_model(4, max_iter=iterations).fit(rows)
@@ -56,21 +57,23 @@ def test_packed_sequences_keep_their_numbers(spark):
     seq = FE.sequences(readings(spark, 3, 400), ["ts"], ["a", "b"], "label", 12).select(F.flatten("sequence").alias("x"), "label")
     got = seq.orderBy(F.rand(1)).limit(200).toArrow().to_batches() + seq.toArrow().to_batches()
     whole = np.concatenate([b.column(0).flatten().to_numpy().reshape(b.num_rows, -1) for b in got])
-    packed = list(P._pack(2, 2)(iter(got)))
+    packed = list(P._pack(2, 2, 128)(iter(got)))
     back = [*P._blocks(iter(packed), 24)]
-    assert np.array_equal(np.concatenate([x for x, _ in back]), whole)
-    assert np.array_equal(np.concatenate([y for _, y in back]), np.concatenate([b.column(1).to_numpy() for b in got]))
-    run = list(P._pack(2, 2)(iter(seq.toArrow().to_batches())))
+    assert np.array_equal(np.concatenate([x for x, _, _ in back]), whole)
+    assert np.array_equal(np.concatenate([y for _, y, _ in back]), np.concatenate([b.column(1).to_numpy() for b in got]))
+    n = len(whole)
+    assert np.allclose(np.concatenate([w for _, _, w in back]), [1.0] * (n - n % 128) + [128 / (n % 128)] * (n % 128))
+    run = list(P._pack(2, 2, 128)(iter(seq.toArrow().to_batches())))
     assert sum(len(c.as_py()) for b in run for c in b.column(0)) < 2 * 8 * 2 * 1200  # 24 numbers a row would be 223 KB
 
 
 def test_odd_rows_are_refused():
     def batch(x, y):
         return iter([pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], names=["x", "y"])])
-    assert not list(P._pack(2, 1)(batch([], [])))
+    assert not list(P._pack(2, 1, 128)(batch([], [])))
     for x, y in (([[1.0, np.nan]], [0.0]), ([[1.0, 2.0]], [2.0]), ([[1.0, 2.0]], [None]), ([None], [1.0])):
         with pytest.raises(ValueError):
-            list(P._pack(2, 1)(batch(x, y)))
+            list(P._pack(2, 1, 128)(batch(x, y)))
 
 
 def test_minimum_of_a_curved_valley():
