@@ -45,16 +45,17 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfloor.session import checkpoint_dir
+from shopfloor.session import checkpoint_dir, setting
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
-TABLE_TOKENS = 400_000
+TABLE_TOKENS = 200_000
 KEPT_LENGTH = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+INPUT_BYTES = 4 << 20
 LETTERS_MARKS = re.compile(r"""^(([^\W\d_]+)([,.;:!?*#$%&|"()]*))$""", re.MULTILINE)
 
 
@@ -70,9 +71,9 @@ def encode_segment(ids: np.ndarray) -> bytes:
     for depth, (chunks, go_on) in enumerate(levels):
         out += [np.uint32(len(chunks)).tobytes(), chunks.tobytes()]
         if depth + 1 < len(levels):
-            set_bits = np.concatenate(([0], np.cumsum(go_on)))
-            out += [np.packbits(go_on, bitorder="little").tobytes(),
-                    set_bits[:-1][::RANK_BLOCK].astype("<u4").tobytes()]
+            bitmap = np.packbits(go_on, bitorder="little")
+            set_bits = np.add.reduceat(np.bitwise_count(bitmap), np.arange(0, len(bitmap), RANK_BLOCK // 8), dtype=np.int64)
+            out += [bitmap.tobytes(), (np.cumsum(set_bits) - set_bits).astype("<u4").tobytes()]
     return MAGIC + np.uint32(len(ids)).tobytes() + bytes([len(levels)]) + b"".join(out)
 
 
@@ -296,6 +297,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(flat) + 1, np.int64)
         tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [
             None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
+        del body, at
         names = tokens.dictionary.to_pylist()
         slots = self._slots(names)
         ids, ends = self.young.gather(slots[tokens.indices.to_numpy()])
@@ -364,7 +366,7 @@ def _write_segments(tokenizer_json, segment_tokens: int, end_id: int):
                     full, stop = stop <= len(upto), min(stop, len(upto))
                     parts.append(ids[base:upto[stop - 1]])
                     ends.append(upto[at:stop] - base + size)
-                    names.append(b.column(0).slice(first + at, stop - at))
+                    names.append(b.column(0).take(pa.array(range(first + at, first + stop))))  # a slice keeps the batch's texts
                     size += int(upto[stop - 1]) - base
                     at, base = stop, int(upto[stop - 1])
                     if full:
@@ -382,14 +384,18 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     tie = F.xxhash64("t")
     ordered = docs.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
-    ordered.mapInArrow(_write_segments(tokenizer_json, segment_tokens, end_id),
-                       "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, "
-                       "doc_ends array<bigint>, payload binary").write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
+    segments = ordered.mapInArrow(_write_segments(tokenizer_json, segment_tokens, end_id),
+                                  "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, "
+                                  "doc_ends array<bigint>, payload binary")
+    # Texts reach a worker some MB at a time, whatever their length (Spark's own limits: 10,000 rows, 64 MB).
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(INPUT_BYTES)):
+        segments.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
 
 
 def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in b.to_pylist():
+        for i in range(b.num_rows):  # one segment at a time as Python objects
+            row = b.slice(i, 1).to_pylist()[0]
             seg, start, out = Segment(row["payload"]), 0, []
             ids = seg.slice(0, len(seg)).astype("<u4")
             for doc, end in zip(row["doc_ids"], row["doc_ends"]):

@@ -148,3 +148,59 @@ def test_batches_and_segments_of_any_size(spark, tok, monkeypatch):
     texts = pa.array(["a" * 10, None, "b" * 3, "", "c" * 99])
     monkeypatch.setattr(T, "BATCH_BYTES", 12)
     assert list(T._slices(texts)) == [(0, 2), (2, 4), (4, 5)]
+
+
+def test_read_texts_are_let_go(monkeypatch):
+    """Ids and texts of a record batch share one buffer: an open segment must not hold it."""
+    import weakref
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Task:
+        def partitionId(self):
+            return 0
+    monkeypatch.setattr(TaskContext, "get", staticmethod(Task))
+    alive, most = [], 0
+
+    def batches():
+        nonlocal most
+        for k in range(12):
+            made = pa.record_batch([pa.array([2 * k, None], pa.int64()), pa.array(["a b " * 2000, f"c{k}"])], names=["id", "t"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, made.schema) as out:
+                out.write_batch(made)
+            body = np.frombuffer(sink.getvalue(), np.uint8).copy()
+            alive.append(weakref.ref(body))
+            most = max(most, sum(x() is not None for x in alive))
+            yield pa.ipc.open_stream(pa.py_buffer(body)).read_next_batch()
+            del body
+
+    class Json:
+        value = open(PATH, encoding="utf-8").read()
+    rows = list(T._write_segments(Json, 10**9, 2)(batches()))
+    assert len(rows) == 1 and rows[0].column(4)[0].as_py() == [x for k in range(12) for x in (2 * k, None)]
+    assert most <= 3
+
+
+def test_workers_get_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch):
+    """Long texts come in record batches of about INPUT_BYTES; the session keeps its own setting."""
+    import pyarrow as pa
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([v], t) for v, t in zip((0, 0, 0, b.nbytes), T.SEGMENT_SCHEMA.types)],
+                     *[pa.array([[0]], pa.list_(pa.int64()))] * 2, pa.array([b""])], schema=T.SEGMENT_SCHEMA)
+        return run
+    monkeypatch.setattr(T, "_write_segments", sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(60).selectExpr("id AS doc_id", "repeat('some words ', 30000) AS text").coalesce(1)
+    for own in (None, "12345678"):
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+        write_tokens(df, str(tmp_path / f"t{own}"), PATH)
+        assert spark.conf.get(key, None) == own
+        got = [r.n_tokens for r in spark.read.parquet(str(tmp_path / f"t{own}")).collect()]
+        assert sum(got) > 60 * 330_000 and max(got) < 2 * T.INPUT_BYTES
+    spark.conf.unset(key)
