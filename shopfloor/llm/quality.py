@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopfloor.session import small_batches
+
 HASHED = 1 << 18
 SIZE = HASHED + 256 + 3
 TRAIN_DOCS = 16_384
@@ -143,6 +146,15 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["order", "grade", "index", "value"])
 
 
+def _place(row: tuple) -> tuple[int, int, int]:
+    return row[0], row[1], len(row[2])
+
+
+def _by_values(same: list[tuple]) -> list[tuple]:
+    """Rows of one place, ordered by their values; few places have more than one, so few values are copied."""
+    return sorted(same, key=lambda r: r[3].tobytes()) if len(same) > 1 else same
+
+
 def _fit_task(grades: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -150,7 +162,8 @@ def _fit_task(grades: int, epochs: int):
             for o, g, i, v in zip(*(b.column(c) for c in range(4))):
                 rows.append((o.as_py(), g.as_py(), i.values.to_numpy(), v.values.to_numpy()))
         if rows:
-            rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
+            rows.sort(key=_place)
+            rows = [r for _, same in groupby(rows, _place) for r in _by_values(list(same))]
             m = fit_with_cut([(i, v, g) for _, g, i, v in rows], grades, epochs)
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f4").tobytes()]), pa.array(
                 [m.thresholds.astype("<f8").tobytes()]), pa.array([m.cut])], names=["w", "th", "cut"])
@@ -180,7 +193,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the ``max_train`` rated documents with the smallest id hash."""
     made = training_rows(docs, ratings, id_col, text_col, grade_col, grades, max_train).mapInArrow(
         _featurize, "order bigint, grade int, index array<int>, value array<float>")
-    row = made.repartition(1).mapInArrow(_fit_task(grades, epochs), "w binary, th binary, cut double").first()
+    with small_batches(docs.sparkSession):
+        row = made.repartition(1).mapInArrow(_fit_task(grades, epochs), "w binary, th binary, cut double").first()
     return row and CumulativeLink(np.frombuffer(row["w"], "<f4"), np.frombuffer(row["th"], "<f8"), row["cut"])
 
 

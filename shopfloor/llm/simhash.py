@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.session import materialize, shared_dir
+from shopfloor.session import materialize, shared_dir, small_batches
 
 SEED = 42
 GOLAY_BITS, GOLAY_RADIUS = 23, 3
@@ -173,7 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classify(df: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """(documents (id, h, fp), classes (fp, root, component_id)), both materialized."""
-    docs = materialize(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
+    with small_batches(df.sparkSession):
+        docs = materialize(fingerprints(df, id_col, text_col, shingle_words), "simhash-fingerprints")
     distinct = materialize(docs.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
     comp = components(links(distinct, max_bits))
     rooted = materialize(distinct.join(comp, F.col("fp") == F.col("node"), "left")

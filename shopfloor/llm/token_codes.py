@@ -45,7 +45,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopfloor.session import checkpoint_dir, setting
+from shopfloor.session import checkpoint_dir, small_batches
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -55,7 +55,6 @@ SEGMENT_TOKENS = 1 << 20
 TABLE_TOKENS = 200_000
 KEPT_LENGTH = 64
 BATCH_BYTES = 2 << 20
-INPUT_BYTES = 4 << 20
 LETTERS_MARKS = re.compile(r"""^(([^\W\d_]+)([,.;:!?*#$%&|"()]*))$""", re.MULTILINE)
 
 
@@ -387,8 +386,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "d
     segments = ordered.mapInArrow(_write_segments(tokenizer_json, segment_tokens, end_id),
                                   "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, "
                                   "doc_ends array<bigint>, payload binary")
-    # Texts reach a worker some MB at a time, whatever their length (Spark's own limits: 10,000 rows, 64 MB).
-    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(INPUT_BYTES)):
+    with small_batches(df.sparkSession):
         segments.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
 
 

@@ -64,3 +64,38 @@ def test_sample_is_bounded_when_ids_repeat(spark):
     assert Q.training_rows(docs, ratings, "doc_id", "text", "grade", 3, 40).count() == 40
     a, b = Q.train(docs, ratings), Q.train(docs.repartition(3), ratings)
     assert (a.weights == b.weights).all() and a.cut == b.cut
+
+
+def test_rows_of_one_place_are_ordered_by_their_values():
+    """The same order as by (order, grade, size, bytes of the values), without copying the values of every row."""
+    from itertools import groupby
+
+    import numpy as np
+
+    from shopfloor.llm.quality import _by_values, _place
+
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(4)), int(rng.integers(2)), np.arange(n), rng.random(n).astype(np.float32))
+            for n in rng.integers(1, 4, 200)]
+    want = sorted(rows, key=lambda r: (*_place(r), r[3].tobytes()))
+    got = [r for _, same in groupby(sorted(rows, key=_place), _place) for r in _by_values(list(same))]
+    assert [id(r) for r in got] == [id(r) for r in want]
+
+
+def test_texts_are_read_in_small_batches(spark, monkeypatch):
+    """Fitting's and SimHash's Python workers get some MB of text at a time, not 10,000 rows."""
+    from shopfloor.llm import quality, simhash
+    from shopfloor.session import INPUT_BYTES
+
+    def checked(run, limit=2 * INPUT_BYTES):
+        def each(batches):
+            for b in batches:
+                assert b.nbytes < limit, b.nbytes
+                yield from run(iter([b]))
+        return each
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat(id, repeat(' some words', 40000)) AS text").coalesce(1)
+    monkeypatch.setattr(quality, "_featurize", checked(quality._featurize))
+    assert quality.train(docs, spark.range(40).selectExpr("id AS doc_id", "int(id % 3) AS grade")) is not None
+    fingerprints = checked(simhash._fingerprints(3))
+    monkeypatch.setattr(simhash, "_fingerprints", lambda _: fingerprints)
+    assert simhash.classify(docs, "doc_id", "text", 3, 2)[0].count() == 40

@@ -187,6 +187,8 @@ def test_workers_get_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch):
     """Long texts come in record batches of about INPUT_BYTES; the session keeps its own setting."""
     import pyarrow as pa
 
+    from shopfloor.session import INPUT_BYTES
+
     def sizes(*_):
         def run(batches):
             for b in batches:
@@ -202,5 +204,5 @@ def test_workers_get_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch):
         write_tokens(df, str(tmp_path / f"t{own}"), PATH)
         assert spark.conf.get(key, None) == own
         got = [r.n_tokens for r in spark.read.parquet(str(tmp_path / f"t{own}")).collect()]
-        assert sum(got) > 60 * 330_000 and max(got) < 2 * T.INPUT_BYTES
+        assert sum(got) > 60 * 330_000 and max(got) < 2 * INPUT_BYTES
     spark.conf.unset(key)
