@@ -108,3 +108,15 @@ def test_index_builds_what_is_read(spark):
     ix = RT.TfidfIndex(df, ["a", "b"])
     assert ix.idf.count() == 24 and not {"norms", "blocks", "bounds"} & set(vars(ix))
     assert ix.bounds.count() == 24 and "blocks" in vars(ix)
+
+
+def test_every_query_has_its_cosine(spark):
+    """Also queries that share no term with any section (92, 93), with similarity zero."""
+    chunks, queries = corpus(spark)
+    ix = RT.TfidfIndex(chunks, IDS)
+    got = {r.query_id: (r.n_candidates, r.max_similarity) for r in q_retrieval.cosine_of(ix, queries).collect()}
+    sims = {}
+    for r in ix.similarities(queries, "query_id", "query").collect():
+        sims.setdefault(r.query_id, []).append(r.similarity)
+    assert got == {q: (len(sims.get(q, [])), max(sims.get(q, [0.0]))) for (q,) in queries.select("query_id").collect()}
+    assert got[92] == got[93] == (0, 0.0) and len(got) == 46
