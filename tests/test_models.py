@@ -64,3 +64,17 @@ def test_rows_are_scored_once(spark):
     rows = spark.createDataFrame([(f"{k % 2}", float(k % 5 > 2), k % 3 % 2, k / 40) for k in range(40)], "split string, label double, pred int, s double")
     got = L.evaluate(rows.coalesce(1).withColumn("score", F.udf(score, "double")("s")), ["split"]).collect()
     assert len(got) == 2 and seen.value == 40
+
+
+def test_importances_store_training_rows_only(spark, monkeypatch):
+    """No key columns, no rows that a fit does not read; the fitted model is the one that scoring queries use."""
+    stored, write = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, purpose: stored.append(write(df, purpose)) or stored[-1])
+    monkeypatch.setattr(L, "_MODELS", {})
+    monkeypatch.setattr(Q.L, "forest", lambda: L.RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=2, maxDepth=2, seed=1))
+    assert Q.q_importance(spark, SF_SMALL).count() == Q.q_j_importance(spark, SF_SMALL).count() == len(Q.FEATURES)
+    assert all(set(t.columns) == {*Q.FEATURES, "label", "split"} and t.where("split <> 'train'").isEmpty() for t in stored)
+    rows = Q.split_frame(spark, SF_SMALL)
+    assert rows.where("split = 'train'").count() == stored[0].count() and len(stored) == 3
+    Q._model(spark, SF_SMALL, "RandomForest", rows)
+    assert len(L._MODELS) == 1
